@@ -21,17 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """The rows of df written to the shared checkpoint folder, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only a session without that
-    setting (a test) gets one of its own.
+    Only a session without that setting (a test) gets one of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """Path of a table to be written in the shared folder."""
+    return f"{shared_folder(spark)}/{name}"
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """The rows of df written to the shared checkpoint folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

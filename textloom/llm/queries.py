@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, simhash, url_filter
+from . import exact_dedup, language_id, mixing, secrets, sentencepieces, simhash, token_output, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -29,10 +45,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_simhash_near_dedup": op1_simhash_near_dedup,
-    "op2_secret_scan": op2_secret_scan,
-    "op8_mixing": op8_mixing,
-    "op9_url_filter": op9_url_filter,
-    "op10_exact_dedup": op10_exact_dedup,
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_secret_scan,
+        op4_token_output,
+        op5_toxicity,
+        op6_language_id,
+        op7_sentencepiece,
+        op8_mixing,
+        op9_url_filter,
+        op10_exact_dedup,
+    )
 }
 SQL = {"op8_mixing": mixing.SQL, "op9_url_filter": url_filter.SQL, "op10_exact_dedup": exact_dedup.SQL}
