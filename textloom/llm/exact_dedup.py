@@ -119,6 +119,28 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return prints.join(groups, key).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, without those whose text another row of smaller doc_id has.
+
+    Of rows that repeat an id and a text one stays.  The ids that go are broadcast if they are few; else rows are dealt
+    by id once.
+    """
+    found = reliable(exact_dedup(docs))
+    names = docs.columns
+    gone = small_side(found.where(~F.col("kept")).select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("_gone")))
+    rows = docs.select(F.struct(*names).alias("_row"))
+    sha = F.sha2(F.regexp_replace(F.coalesce(F.col("_row")["text"], F.lit("")), WS, " ").cast("binary"), 256)
+    # not an equality, so that texts are hashed only where the id is one of those that go
+    same = F.col("_row")["doc_id"].eqNullSafe(F.col("_gone")["id"]) & sha.contains(F.col("_gone")["sha"])
+    left = rows.join(gone, same, "left_anti")
+    again = reliable(found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    if not again.isEmpty():
+        on = F.col("_row")["doc_id"].eqNullSafe(F.col("_again"))
+        some = left.join(again, on, "left_semi").withColumn("_sha", sha).withColumn("_id", F.col("_row")["doc_id"]).dropDuplicates(["_id", "_sha"]).select("_row")
+        left = left.join(again, on, "left_anti").unionAll(some)
+    return left.select("_row.*")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

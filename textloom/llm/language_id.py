@@ -161,3 +161,24 @@ def predict(docs: DataFrame, profiles: Profiles, columns: list[str] | None = Non
 def language_id(docs: DataFrame, most: int = MOST_FIT, top: int = TOP) -> DataFrame:
     """Learns the profiles from docs and predicts the language of every row; see predict()."""
     return predict(docs, fit(docs, most, top))
+
+
+#: A text that is so unlike every profile is in none of the languages.
+LEAST_LIKENESS = 0.2
+
+
+def known_language_only(docs: DataFrame, least: float = LEAST_LIKENESS, most: int = MOST_FIT, top: int = TOP) -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages learned from docs itself.
+
+    Rejected are texts of no language (null, no letter) and those whose likeness to the nearest profile is under
+    ``least``.  Rows pass through where they are: no shuffle.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, most, top))
+    at = docs.columns.index("text")
+
+    def passed(batches):
+        for batch in batches:
+            told = [model.value.predict(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != UNKNOWN and like >= least for lang, _, like in told], pa.bool_()))
+
+    return docs.mapInArrow(passed, docs.schema)

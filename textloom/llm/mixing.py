@@ -87,14 +87,14 @@ def invert(curve: Column, ends: Sequence[float], share: Column) -> Column:
     return a + F.when(hi > lo, (share - lo) / (hi - lo) * (b - a)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, phases=CONSTANT, digits: int = 3) -> DataFrame:
-    """One row per document, range-sorted by training position.
+def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, phases=CONSTANT, digits: int = 3) -> DataFrame:
+    """One row per document with its part in the mix.
 
-    Columns: doc_id, source, size, source_size, target, taken, copies, position.  ``taken`` is the number of words the
+    Columns: doc_id, source, size, source_size, target, taken, copies, position, positions.  ``taken`` is the number of words the
     mix takes from the document: as often as the source's target holds the whole source, plus a last pass that ends
     inside a document, so that a source's sum is its target rounded to a word.  ``copies`` is taken in whole documents
     (a last pass that reaches a document's middle takes it); ``position`` is the training time in words of its first
-    word, null if nothing is taken.
+    word, null if nothing is taken; ``positions`` holds that of each copy.
 
     The order within a source is that of md5(doc_id), doc_id, size, so reruns agree at any partitioning.  A source may
     hold a third of all rows: it is dealt over 16^digits buckets of md5, bucket sums are added up in a window over
@@ -121,9 +121,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_RE
     d = d.withColumn("full", full).withColumn("rest", rest)
     d = d.withColumn("taken", F.col("full") * F.col("size") + F.col("rest"))
     d = d.withColumn("copies", F.col("full") + ((F.col("rest") * 2 >= F.col("size")) & (F.col("rest") > 0)).cast("long"))
-    share = F.when(F.col("target") > 0, F.least(F.col("start") / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    d = d.withColumn("position", F.when(F.col("taken") > 0, invert(F.col("curve"), ends, share) * F.col("total")))
-    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    # the words of the document's source that come before it, in each pass over the source
+    share = lambda p: F.when(F.col("target") > 0, F.least((F.col("start") + p * F.col("source_size")) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
+    d = d.withColumn("position", F.when(F.col("taken") > 0, invert(F.col("curve"), ends, share(F.lit(0))) * F.col("total")))
+    passes = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long")), lambda p: p < F.col("copies"))
+    d = d.withColumn("positions", F.transform(passes, lambda p: invert(F.col("curve"), ends, share(p)) * F.col("total")))
+    return d.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "position", "positions")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, phases=CONSTANT, digits: int = 3) -> DataFrame:
+    """assign(), range-sorted by training position; rows of which nothing is taken come last."""
+    return assign(docs, weights, most, phases, digits).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: docs' rows and columns, each as often as it is taken in whole, range-sorted by position.
+
+    Rows that repeat a doc_id are taken alike.
+    """
+    taken = assign(docs, **options).groupBy("doc_id").agg(F.max("positions").alias("positions")).where(F.size("positions") > 0)
+    taken = reliable(taken).select(F.struct("doc_id", "positions").alias("_mix"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row")).join(taken, F.col("_row")["doc_id"].eqNullSafe(F.col("_mix")["doc_id"]))
+    each = rows.select("_row", F.explode(F.col("_mix")["positions"]).alias("_position"))
+    return each.orderBy("_position", F.col("_row")["doc_id"]).select("_row.*")
 
 
 SQL = r"""

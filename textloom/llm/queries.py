@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, secrets, sentencepieces, simhash, token_output, toxicity, url_filter
+from . import ann, exact_dedup, language_id, mixing, secrets, sentencepieces, simhash, token_output, toxicity, url_filter
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     for f in (
         op1_simhash_near_dedup,
         op2_secret_scan,
+        op3_nearest_neighbours,
         op4_token_output,
         op5_toxicity,
         op6_language_id,

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex64, reliable
+from .common import hex64, reliable, small_side
 from .components import components
 
 SEED = 42
@@ -246,3 +246,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     named = reliable(placed.join(ids, "root").select(F.col("fp").alias("node"), "component_id"))
     out = prints.join(named, F.col("fp") == F.col("node"))
     return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, one document of each component of links: that of the smallest doc_id.
+
+    Rows that repeat an id stay or go together.  The ids that go are broadcast if they are few; else rows are dealt by
+    id once.
+    """
+    ids = near_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = small_side(reliable(ids.where(~F.col("kept")).select(F.struct(F.col("doc_id").alias("id")).alias("_gone"))))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.join(gone, F.col("_row")["doc_id"].eqNullSafe(F.col("_gone")["id"]), "left_anti").select("_row.*")
