@@ -49,11 +49,12 @@ class UnitEncoder:
     @staticmethod
     def units(text: str) -> list[str] | None:
         """Units of a text, the first one marked by two line feeds; None if it has to be encoded whole."""
-        parts = text.replace("\n", " \n").split(" ")
-        if len(text.split()) != len(parts) or not parts[0] or text[-1].isspace():
-            return None
-        if parts[0][0] == "\n":
+        words = text.split()
+        gaps = len(words) - 1
+        # as much white space as gaps, and all of it spaces and line feeds: one in each gap, none at the ends
+        if text.count(" ") + text.count("\n") != gaps or len(text) - sum(map(len, words)) != gaps:
             return None
+        parts = text.replace("\n", " \n").split(" ")
         parts[0] = "\n\n" + parts[0]
         return parts
 
