@@ -28,8 +28,8 @@ SECOND = frozenset("you your yours yourself yourselves u ur ya du dich dir dein
 #: Known insults, beside those that are learned.
 SEED_LEXICON = frozenset("idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown disgusting dumb imbecile".split())
 STEMS = (4, 5)
-#: A learned entry occurs in so many toxic texts at least, and so many times as often among them as among others.
-LEAST_TEXTS, LEAST_RATIO = 5, 12.0
+#: A learned entry counts in so many toxic texts at least, and is so many times as frequent among them as among others.
+LEAST_TEXTS, LEAST_RATIO = 3, 12.0
 
 FEATURES = (
     "words_rate", "words_log", "stems_rate", "stems_log", "distinct_hits", "hidden_rate", "hidden_log", "near_you", "you_rate",
@@ -38,15 +38,25 @@ FEATURES = (
 
 
 def learn_lexicon(texts: list[str], toxic: np.ndarray) -> tuple[frozenset, frozenset]:
-    """Words and word beginnings that mark toxic texts: by how many texts of either class hold them."""
-    n = [Counter(), Counter()]
-    s = [Counter(), Counter()]
+    """Words and word beginnings that mark toxic texts.
+
+    An entry counts once a text; in toxic texts only behind a word that it wasn't met behind before, so what copies of
+    one text repeat counts once.
+    """
+    n, s, met = [Counter(), Counter()], [Counter(), Counter()], set()
     for t, y in zip(texts, toxic.tolist()):
-        words = {w for w in WORD.findall(t.lower())}
-        n[int(y)].update(words)
-        s[int(y)].update({w[:k] for w in words for k in STEMS if len(w) > k})
+        words = WORD.findall(t.lower())
+        if y:
+            pairs = set(zip(["", *words], words)) - met
+            met |= pairs
+            fresh = {w for _, w in pairs}
+            n[1].update(fresh)
+            s[1].update({w[:k] for w in fresh for k in STEMS if len(w) > k})
+        else:
+            n[0].update(set(words))
+            s[0].update({w[:k] for w in words for k in STEMS if len(w) > k})
     pos, neg = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    least = max(LEAST_TEXTS, pos // 200)
+    least = max(LEAST_TEXTS, pos // 100)
 
     def chosen(c):
         return frozenset(w for w, k in c[1].items() if k >= least and (k / pos) / ((c[0][w] + 0.5) / neg) >= LEAST_RATIO)
