@@ -408,7 +408,7 @@ def code_scope(spark, sf_dir):
 #: A few files in code, for queries whose operators the tables have no texts for.
 CODE = [
     ("a/one.go", 'package a\n\n// adds\nfunc Add(x, y int) int {\n\tif x > 0 { // }\n\t\treturn x + y\n\t}\n\treturn y\n}\n\nfunc Last() {\n\treturn\n}\n'),
-    ("a/two.py", "class A:\n    def f(self):\n        return '}'\n\n    def g(self):\n        pass\n"),
+    ("a/two.py", "class Shop:\n    def open(self):\n        return '}'\n\n    def close(self, *rest):\n        pass\n"),
     ("b/three.md", "# Top\n\n## Backoff\nuse jitter\nmore\n\n## Next\nother\n"),
     ("b/four.rs", "pub fn run() -> u32 {\n    /* { /* { */ */\n    return 1;\n}\n"),
 ]
