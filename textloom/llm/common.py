@@ -44,6 +44,15 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free_of_order(df: DataFrame) -> DataFrame:
+    """Aggregated rows dealt out anew, so that a join on their key shuffles both of its sides.
+
+    A join that takes over an aggregate's partitions can't split the other side's hot keys; this one can.  It costs a
+    shuffle of one row a key.
+    """
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its rows were counted to be few, else unmarked (shuffle join).
 

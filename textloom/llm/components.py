@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import free_of_order, reliable
 
 MAX_ROUNDS = 60
 
@@ -25,10 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # large star: neighbours above a node go to the smallest neighbour
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+        least = free_of_order(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: neighbours below a node, and itself, go to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        low = free_of_order(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"))
         joined = large.join(low, F.col("a") == F.col("n"))
         star = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         e = reliable(star)

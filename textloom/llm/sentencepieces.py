@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose ids a worker keeps, twice (a young and an old generation); characters of new units indexed at once.
-CACHE, INDEXED = 250_000, 400_000
+CACHE, INDEXED = 100_000, 200_000
+#: Pairs of pieces whose fit a worker remembers.
+PAIRS = 300_000
 GROUP = 64
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 NONE = -2
@@ -95,7 +97,7 @@ class Model:
         #: pieces never go on over a space, and a line feed is in none: texts can be cut there
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.decoded = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types)]
-        self._spines: dict[int, tuple[list, list]] = {}
+        self._spines: dict[int, tuple[tuple, tuple]] = {}
 
     def char_id(self, c: str) -> int:
         return self.ids.get(c, -1)
@@ -114,7 +116,7 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def spines(self, i: int) -> tuple[list, list] | None:
+    def spines(self, i: int) -> tuple[tuple, tuple] | None:
         """A piece's last parts and first parts, from single characters to itself, in the order its merges make them.
 
         None for a piece that merging never makes of its own characters.
@@ -130,12 +132,13 @@ class Model:
                         best, at = self.rank[r], k
                 if best is None:
                     break
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                # the model's own string, so that spines hold no copies
+                parts[at : at + 2] = [self.pieces[self.ids[parts[at] + parts[at + 1]]]]
                 if parts[-1] != last[-1]:
                     last.append(parts[-1])
                 if parts[0] != first[0] and parts[0] != first[-1]:
                     first.append(parts[0])
-            self._spines[i] = (last, first) if len(parts) == 1 else None
+            self._spines[i] = (tuple(last), tuple(first)) if len(parts) == 1 else None
         return self._spines[i]
 
     def fits(self, left: int, right: int) -> bool:
@@ -219,7 +222,7 @@ class SuffixEncoder:
         for k, key in enumerate(keys.tolist()):
             ok = known.get(key)
             if ok is None:
-                if len(known) > 2_000_000:
+                if len(known) >= PAIRS:
                     known.clear()
                 ok = known[key] = self.model.fits(*divmod(key, v))
             out[k] = ok

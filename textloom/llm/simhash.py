@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex64, reliable, small_side
+from .common import free_of_order, hex64, reliable, small_side
 from .components import components
 
 SEED = 42
@@ -242,7 +242,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     roots = components(edges(nodes.select("fp")))
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = reliable(placed)
-    ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    ids = free_of_order(placed.groupBy("root").agg(F.min("first_id").alias("component_id")))
     named = reliable(placed.join(ids, "root").select(F.col("fp").alias("node"), "component_id"))
     out = prints.join(named, F.col("fp") == F.col("node"))
     return out.select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -19,8 +20,10 @@ END_ID = 2
 #: Tokens after which a segment is closed; a document is never cut, so a longer one is a segment of its own.
 SEGMENT = 1 << 20
 #: Units whose ids a worker keeps, twice (a young and an old generation).
-CACHE = 250_000
+CACHE = 400_000
 GROUP = 64
+#: Letters with signs behind them; the tokenizer always splits there (but for an apostrophe).
+SIGNED = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -45,6 +48,10 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # byte-level vocabularies write a space before a word as this letter
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     @staticmethod
     def units(text: str) -> list[str] | None:
@@ -59,14 +66,46 @@ class UnitEncoder:
         return parts
 
     def _fill(self, missing: list[str]) -> None:
-        plain = [u[2:] if u.startswith("\n\n") else u if u[0] == "\n" else " " + u for u in missing]
-        for at in range(0, len(plain), 5000):
-            e = self.tokenizer.encode(plain[at : at + 5000], is_pretokenized=True, add_special_tokens=False)
-            ids, words = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
-            cuts = np.searchsorted(words, np.arange(len(plain[at : at + 5000]) + 1)) * 4
-            data, cuts = ids.tobytes(), cuts.tolist()
-            for u, a, b in zip(missing[at : at + 5000], cuts, cuts[1:]):
-                self.young[u] = data[a:b]
+        """Ids of units that no cache has; a word with signs behind it is put together from the two."""
+        composed, plain = [], set()
+        young, old = self.young, self.old
+        for u in missing:
+            m = SIGNED.fullmatch(u)
+            if m is None:
+                plain.add(u)
+                continue
+            parts = m[1], "\n\n" + m[2]
+            composed.append((u, *parts))
+            for part in parts:
+                if part not in young:
+                    if (ids := old.get(part)) is not None:
+                        young[part] = ids
+                    else:
+                        plain.add(part)
+        # words are a text of their own, whose ids are cut where one begins with a space; the rest goes one by one
+        words = [u for u in plain if u[0] != "\n"]
+        rest = [u for u in plain if u[0] == "\n"]
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) != len(some):
+                rest += some
+                continue
+            cuts, data = [*(starts * 4).tolist(), len(ids) * 4], ids.tobytes()
+            for u, a, b in zip(some, cuts, cuts[1:]):
+                young[u] = data[a:b]
+        texts = [u[2:] if u.startswith("\n\n") else u if u[0] == "\n" else " " + u for u in rest]
+        for at in range(0, len(texts), 5000):
+            some = texts[at : at + 5000]
+            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, numbers = np.array(e.ids, dtype="<u4"), np.array(e.word_ids, dtype=np.int64)
+            cuts = (np.searchsorted(numbers, np.arange(len(some) + 1)) * 4).tolist()
+            data = ids.tobytes()
+            for u, a, b in zip(rest[at : at + 5000], cuts, cuts[1:]):
+                young[u] = data[a:b]
+        for u, word, signs in composed:
+            young[u] = young[word] + young[signs]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
