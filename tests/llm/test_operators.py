@@ -286,6 +286,23 @@ def test_nearest_against_brute_force(spark):
     assert ann.nearest(df.where("vec_id in (0, 1, 2)")).count() == 2 and ann.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_neighbours_take_one_place(spark):
+    x = np.random.default_rng(4).standard_normal((40, 8))
+    x[7] = x[0] + 0.01
+    # the nearest id five times with one vector, the next with several vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 5 + [(8, (x[0] + 0.02 * (i + 1)).tolist()) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {}
+    for i, v in rows[1:]:
+        best[i] = max(best.get(i, -2), ann.cosine(x[0], np.array(v)))
+    want = [(k + 1, i, s) for k, (s, i) in enumerate(sorted(((s, i) for i, s in best.items()), key=lambda p: (-p[0], p[1]))[:5])]
+    assert [i for _, i, _ in want[:2]] == [7, 8]
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.nearest(df, every=100).collect()) == want
+    # in one block, without the merge before
+    ids, v = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    assert sorted((-s, j) for _, j, s in ann.best(np.array([0]), x[:1], ids, v, 5)) == [(-s, i) for _, i, s in want]
+
+
 def test_recall_through_learned_parts(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 300)
     monkeypatch.setattr(ann, "BLOCK", 100)

@@ -172,31 +172,41 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int):
-    """(query, id, score) of the k nearest of x for each query, in a block: by matrix product, then exactly."""
+    """(query, id, score) of the k nearest ids of x for each query, in a block: by matrix product, then exactly.
+
+    An id that several rows of x have counts once, with the best of their scores, before the k are cut off.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
     s = unit(q) @ unit(x).T
     s[query_ids[:, None] == ids[None, :]] = -3
     for i in range(len(q)):
         row = s[i]
-        able = int((row > -2).sum())
+        top = np.maximum.reduceat(row, first)
+        able = int((top > -2).sum())
         if not able:
             continue
-        floor = np.partition(row, len(row) - min(k, able))[len(row) - min(k, able)] - SLACK
-        found = [(-cosine(q[i], x[j]), int(ids[j])) for j in np.flatnonzero(row >= max(floor, -2))]
-        for score, j in sorted(found)[:k]:
-            yield int(query_ids[i]), j, -score
+        floor = np.partition(top, len(top) - min(k, able))[len(top) - min(k, able)] - SLACK
+        found: dict[int, float] = {}
+        for j in np.flatnonzero(row >= max(floor, -2)):
+            at = int(ids[j])
+            found[at] = max(found.get(at, -2.0), cosine(q[i], x[j]))
+        for score, at in sorted((-score, at) for at, score in found.items())[:k]:
+            yield int(query_ids[i]), at, -score
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding (array of double) of the rows that take part.
 
     Left out: null ids and vectors, vectors with null or non-finite components, all zeros, and those that don't have the
-    length that most have.
+    length that most have.  Rows that repeat both id and vector are one row.
     """
     ok = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     good = good.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(ok)
     length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return good.where(F.size("embedding") == (length["d"] if length else 0))
+    return good.where(F.size("embedding") == (length["d"] if length else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = AIM, most_fit: int = MOST_FIT) -> DataFrame:
@@ -231,12 +241,15 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = AIM, m
     index = placed.select("vec_id", "embedding", F.element_at("route", 1).alias("part"))
     queries = placed.where(F.col("vec_id") % every == 0)
     sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_PARTS rows
+    # an id with vectors in several parts is held by the first of them alone, so that parts never hold more than they have
+    own = index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    ids = {r["part"]: r["n"] for r in own.collect()}  # at most MOST_PARTS rows
     n_queries = n // every + 1
     block = max(BLOCK, min(MOST_BLOCK, n // 64))
     blocks = F.create_map(*[F.lit(v) for p in range(model.parts) for v in (p, max(1, -(-sizes.get(p, 0) // block)))])
-    rows = F.create_map(*[F.lit(v) for p in range(model.parts) for v in (p, sizes.get(p, 0))])
+    rows = F.create_map(*[F.lit(v) for p in range(model.parts) for v in (p, ids.get(p, 0))])
     query_blocks = max(1, -(-n_queries // MOST_QUERIES))
-    # the most probable parts, and further ones until they hold k rows beside the query
+    # the most probable parts, and further ones until they hold k ids beside the query's own
     run = F.aggregate("route", F.struct(F.lit(0).alias("held"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("go")), lambda acc, p: F.when(
         (acc["used"] < model.probes) | (acc["held"] <= k),
         F.struct((acc["held"] + F.element_at(rows, p)).cast("int").alias("held"), (acc["used"] + 1).alias("used"), F.concat(acc["go"], F.array(p)).alias("go")),
