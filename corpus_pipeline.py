@@ -26,8 +26,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: documents as often as the mix takes them, in training order."""
-    return mixing.mixed_documents(docs)
+    """Mixing to target weights by the curriculum: documents as often as the mix takes them, in training order."""
+    return mixing.mixed_documents(docs, phases=mixing.CURRICULUM)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

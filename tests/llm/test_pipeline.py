@@ -66,6 +66,24 @@ def test_pipeline(spark, tmp_path):
     assert count == {i: n for i, n in copies.items() if n} and len(want) > 150
 
 
+def test_mix_follows_the_curriculum(spark):
+    docs = spark.read.parquet(str(SF / "documents.parquet"))
+    rows = mixing.assign(docs, phases=mixing.CURRICULUM).collect()
+    flat = mixing.assign(docs).collect()
+    assert sorted((r["doc_id"], r["taken"], r["copies"]) for r in rows) == sorted((r["doc_id"], r["taken"], r["copies"]) for r in flat)
+    order = lambda rows: [i for _, i in sorted((p, r["doc_id"]) for r in rows for p in r["positions"])]
+    staged = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["mixing"](spark, docs, str(SF)).collect()]
+    assert staged == order(rows) != order(flat)
+    # op8 returns its rows in training order, those that nothing is taken of last
+    first = lambda rows: [i for _, i in sorted((r["position"], r["doc_id"]) for r in rows if r["taken"])]
+    got = [r["doc_id"] for r in queries.QUERIES["op8_mixing"](spark, str(SF)).collect() if r["taken"]]
+    assert got == first(rows) != first(flat)
+    # the first source is ahead of a constant schedule, the third behind it
+    sources = sorted({r["source"] for r in rows})
+    mean = lambda rows, s: (lambda p: sum(p) / len(p))([p for r in rows if r["source"] == s for p in r["positions"]])
+    assert mean(rows, sources[0]) < mean(flat, sources[0]) and mean(rows, sources[2]) > mean(flat, sources[2])
+
+
 def test_stages_return_documents(spark):
     docs = spark.read.parquet(str(SF / "documents.parquet"))
     empty = docs.limit(0)

@@ -20,6 +20,8 @@ WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
 #: Phases of training: (end of the phase as a share of the run, factor on the weight of each of WEIGHTS).
 CONSTANT = ((1.0, (1.0, 1.0, 1.0)),)
+#: The schedule of op8 and of the pipeline: the first of the three weights falls from phase to phase, the third rises.
+CURRICULUM = ((0.4, (2.0, 1.0, 0.5)), (0.8, (1.0, 1.0, 1.0)), (1.0, (0.5, 1.0, 2.0)))
 
 
 def word_count(name: str = "text") -> Column:

@@ -37,7 +37,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), phases=mixing.CURRICULUM).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
