@@ -262,6 +262,14 @@ def test_secrets(docs):
     assert secrets.secret_spans(docs([])).collect() == []
 
 
+def test_opaque_runs_show_their_classes_anywhere(docs):
+    tails = ["A1", "1A", "Aa", "11", "A1==", "A1==="]
+    runs = ["x" * 300 + t for t in tails] + ["X" * 300 + "1-" * 150 + "x", "x1" * 5000 + "A", "x" * 1_000_000 + "A1"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(docs([(i, f"login=bob {t}") for i, t in enumerate(runs)])).collect()}
+    want = {i: f"ident:0:9,opaque:10:{10 + len(t)}" if i not in (2, 3, 5) else "" for i, t in enumerate(runs)}
+    assert got == want
+
+
 def test_a_weak_part_alone_is_not_reported(docs):
     alone = [(1, "login=bob"), (2, "https://a.example.com"), (3, "Zx9abcXYZ019abcXYZ019abcXYZ"), (4, "login=bob " + "w " * 300 + "password=abcdefghijkl")]
     assert all(r["n_weak"] == 0 for r in secrets.secret_spans(docs(alone)).collect())

@@ -15,9 +15,9 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: Runs too short to count are left out of the patterns where that can't change a longer match.
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-#: Weak parts: who, what opens, and where.
+#: Weak parts: who, what opens, and where.  Opaque runs hold a digit and letters of either case, wherever in the run.
 IDENT = r"""\b(?i:access_key_id|client_id|user_?name|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,256}[0-9])(?=[A-Za-z0-9+/_-]{0,256}[A-Z])(?=[A-Za-z0-9+/_-]{0,256}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
+OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"
 ENDPOINT = r"(?:https?|ftps?|postgres(?:ql)?|mysql|mongodb|redis|amqps?|jdbc:[a-z]+|s3|ssh)://[A-Za-z0-9_.@:-]{3,}"
 #: kinds in the order in which spans with one start are listed
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
