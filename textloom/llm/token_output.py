@@ -1,4 +1,8 @@
-"""Token ids of documents in ascending doc_id order, written as directly addressable codes and read back."""
+"""Token ids of documents in ascending doc_id order, written as directly addressable codes and read back.
+
+A folder of segments holds rows of Parquet whose codes are neither compressed nor encoded, so that any token is read
+from its segment's bytes as they lie there; ``base`` and ``n_tokens`` are the directory over segments.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +22,11 @@ from .common import scratch
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 #: Tokens after which a segment is closed; a document is never cut, so a longer one is a segment of its own.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
+#: Bytes of input that a writing task is meant for.
+SHARE = 256 << 20
+#: Each segment is a page of its own, so that a reader skips the others; codes don't shrink under a second code.
+LAYOUT = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size": "65536", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Units whose ids a worker keeps, twice (a young and an old generation).
 CACHE = 400_000
 GROUP = 64
@@ -37,7 +45,8 @@ class UnitEncoder:
 
     The tokenizer's own split never crosses a single space or line feed between two other characters (a space goes to
     what follows, a lone line feed stands alone), so such texts are cut there and units are encoded apart; a text with
-    any other white space is encoded whole.  Ids are exactly those of the whole text.
+    any other white space, or with a string that the vocabulary adds as a token of its own, is encoded whole.  Ids are
+    exactly those that the library gives for the whole text.
     """
 
     def __init__(self, path: str):
@@ -45,7 +54,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         # byte-level vocabularies write a space before a word as this letter
@@ -53,9 +62,10 @@ class UnitEncoder:
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
-    @staticmethod
-    def units(text: str) -> list[str] | None:
+    def units(self, text: str) -> list[str] | None:
         """Units of a text, the first one marked by two line feeds; None if it has to be encoded whole."""
+        if any(t in text for t in self.added):
+            return None
         words = text.split()
         gaps = len(words) - 1
         # as much white space as gaps, and all of it spaces and line feeds: one in each gap, none at the ends
@@ -143,17 +153,30 @@ def encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
+def _shards(docs: DataFrame, texts: DataFrame) -> int:
+    """Tasks to write with: as many as the session deals to, and more if the input is large.
+
+    The size is the plan's own statistic (that of the files), or a sum over the texts where there is none.
+    """
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # text files shrink to about a third in Parquet; a table in memory makes a task too many at worst
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * 3 // SHARE))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, segment: int = SEGMENT) -> None:
     """Encodes whole texts and writes them to a folder of segments, in ascending doc_id order over shards and segments.
 
     Null text counts as empty (only the end id).  A null doc_id comes first.  Rows that repeat a doc_id are each
-    written, in order of their text.  Documents are dealt by ranges of doc_id, so each task writes one shard and holds
-    one segment and one Arrow batch; segments are rows with a binary column that Spark's own writer commits, so a task
-    that is run again leaves nothing twice.  ``tokenizer`` is the path of the vocabulary, there on every node.
+    written, in order of their text.  An empty table makes an empty folder; extra columns are not read.  Documents are
+    dealt by ranges of doc_id, so each task writes one shard and holds one segment and one Arrow batch; segments are rows
+    with a binary column that Spark's own writer commits, so a task that is run again leaves nothing twice.
+    ``tokenizer`` is the path of the vocabulary, there on every node.
     """
-    spark = docs.sparkSession
     vocabulary = tokenizer or tokenizer_path()
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = _shards(docs, texts)
 
     def encoded(batches):
         from pyspark import TaskContext
@@ -185,14 +208,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         if ids:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(encoded, "shard int, segment int, base long, n_tokens long, blob binary").write.option("compression", "zstd").parquet(path)
+    rows = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows.mapInArrow(encoded, "shard int, segment int, base long, n_tokens long, blob binary").write.options(**LAYOUT).parquet(path)
+
+
+def _offsets(files: DataFrame) -> DataFrame:
+    """of, offset: the tokens before each shard.  One row a shard, as many as the writer had tasks."""
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
+
+
+def read_at(spark: SparkSession, path: str, positions: list[int]) -> list[int]:
+    """The tokens at some positions of a folder of segments, counted over all documents; IndexError beyond the ends.
+
+    The directory (two numbers a segment) is searched for the segments, and the scan reads the pages of those alone; a
+    token then takes a byte of each of its levels and a rank between them.  Nothing is decompressed or decoded.
+    """
+    files = spark.read.parquet(path)
+    if not positions:
+        return []
+    wanted = spark.createDataFrame([(int(p),) for p in sorted(set(positions))], "position long")
+    place = files.select("shard", "segment", "base", "n_tokens").join(F.broadcast(_offsets(files)), F.col("shard") == F.col("of"))
+    first = F.col("base") + F.col("offset")
+    hits = place.join(F.broadcast(wanted), (F.col("position") >= first) & (F.col("position") < first + F.col("n_tokens")))
+    at: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in hits.select("shard", "segment", "position", (F.col("position") - first).alias("i")).collect():  # a row a position asked for
+        at.setdefault((r["shard"], r["segment"]), []).append((r["position"], r["i"]))
+    if {p for some in at.values() for p, _ in some} != set(positions):
+        raise IndexError("no such position")
+    found = {}
+    for (shard, segment), some in at.items():
+        blob = files.where((F.col("shard") == shard) & (F.col("segment") == segment)).select("blob").first()["blob"]
+        s = dac.Segment(blob)
+        found |= {p: s.token(i) for p, i in some}
+    return [found[p] for p in positions]
+
+
+def read_token(spark: SparkSession, path: str, position: int) -> int:
+    """One token of a folder of segments; see read_at()."""
+    return read_at(spark, path, [position])[0]
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (tokens of all documents before it), n_tokens and ids_crc32 of every document in a folder of segments.
 
-    Shards' totals are added up over shards (as many as the writer's tasks) and joined to the documents by broadcast.
+    Null doc_ids come first, repeated rows each have theirs; an empty folder of segments gives no rows.  Shards' totals are added up over shards (as many as the writer's tasks) and joined to the documents by broadcast.
     """
     files = spark.read.parquet(path)
 
@@ -207,10 +268,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     docs = files.select("shard", "base", "blob").mapInArrow(decoded, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("shard").alias("of"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("offset"))
-    return docs.join(F.broadcast(offsets), F.col("shard") == F.col("of")).select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(F.broadcast(_offsets(files)), F.col("shard") == F.col("of")).select("doc_id", (F.col("local_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
