@@ -12,11 +12,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -93,7 +93,9 @@ class Model:
         seen: dict[float, int] = {}
         for r in self.rank.values():
             seen[r] = seen.get(r, 0) + 1
-        self.tied = {p for p, i in self.ids.items() if seen[self.rank[i]] > 1 and len(p) > 1}
+        # equal scores go from left to right, which neighbours alone can tell only within runs of spaces
+        if any(seen[self.rank[i]] > 1 and len(p) > 1 and p.strip(SPACE) for p, i in self.ids.items()):
+            raise ValueError("only models whose pieces of equal score are runs of spaces")
         #: pieces never go on over a space, and a line feed is in none: texts can be cut there
         self.cuts = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.ids)
         self.decoded = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else b" \xe2\x81\x87 " if t == UNKNOWN else b"" for p, t in zip(self.pieces, self.types)]
@@ -145,8 +147,12 @@ class Model:
         """Whether the two pieces are the encoding of their concatenation.
 
         As merging goes on, the parts on either side of the border grow along the spines; they fit unless the two that
-        meet at some time are merged before either grows.
+        meet at some time are merged before either grows.  Runs of spaces have one score, so that their merges go from
+        left to right: whether two of them are neighbours is what merging the whole run gives.
         """
+        x, y = self.pieces[left], self.pieces[right]
+        if not x.strip(SPACE) and not y.strip(SPACE):
+            return self.merge(x + y) == [x, y]
         a, b = self.spines(left), self.spines(right)
         if a is None or b is None:
             return False
@@ -290,11 +296,9 @@ class SuffixEncoder:
         data = ids.astype("<u4").tobytes()
         odd = set(who[ids < 0].tolist())
         out = []
-        for k, u in enumerate(units):
+        for k in range(len(units)):
             a, b = bounds[k], bounds[k + 1]
-            if m.tied and any(t in u for t in m.tied):
-                out.append(self._plain(u))  # equal scores: which merge comes first depends on the place
-            elif k in odd:
+            if k in odd:
                 out.append(b"".join(self._char(chr(chars[w])) if i < 0 else data[4 * n : 4 * n + 4] for n, i, w in zip(range(a, b), ids[a:b].tolist(), where[a:b].tolist())))
             else:
                 out.append(data[4 * a : 4 * b])
@@ -304,9 +308,6 @@ class SuffixEncoder:
         m = self.model
         return np.array([m.bytes.get(b, m.unknown) for b in c.encode("utf-8", "replace")] if m.bytes else [m.unknown], dtype="<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(np.array([i], dtype="<u4").tobytes() if (i := self.model.ids.get(p)) is not None else self._char(p) for p in self.model.merge(text))
-
     def units(self, text: str) -> list[str]:
         """Keys of a text's units: each has a space before it that the key leaves out, or begins with a line feed."""
         s = text.replace(" ", SPACE)
@@ -353,37 +354,37 @@ def encoder(path: str) -> SuffixEncoder:
     return _ENCODERS[path]
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_crc32, text_crc32, round_trip; with_ids adds the ids.
+def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_crc32, text_crc32, round_trip; with_ids adds the ids, keep other columns.
 
     Encodes whole texts and decodes the ids again: text_crc32 is that of the decoded text's UTF-8, and round_trip tells
     whether it is the text (a text that holds U+2581 itself comes back with a space there).  Null text counts as empty:
-    no ids, crc 0.  Null doc_ids and repeated rows get a row each; an empty table gives none; extra columns are not
-    read.  Texts are read once, with no shuffle.  ``model`` is a path that is there on every node.
+    no ids, crc 0.  Null doc_ids and repeated rows get a row each; an empty table gives none; columns that aren't kept
+    are not read.  Texts are read once, with no shuffle.  ``model`` is a path that is there on every node.
     """
     path = model or model_path()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = [docs.schema[c] for c in ("doc_id", *keep)]
 
     def worked(batches):
         enc = encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP * 16):
                 some = batch.slice(at, GROUP * 16)
-                texts = [t or "" for t in some.column(1).to_pylist()]
+                texts = [t or "" for t in some.column(0).to_pylist()]
                 ids = enc.encode(texts)
                 back = [enc.decode(i) for i in ids]
                 columns = [
-                    some.column(0),
+                    *some.columns[1:],
                     pa.array([len(i) // 4 for i in ids], pa.int64()),
                     pa.array([zlib.crc32(i) for i in ids], pa.int64()),
                     pa.array([zlib.crc32(b) for b in back], pa.int64()),
-                    pa.array([b == t.encode() for b, t in zip(back, texts)]),
+                    pa.array([b == t.encode() for b, t in zip(back, texts)], pa.bool_()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_crc32", "text_crc32", "round_trip"]
+                names = [*some.schema.names[1:], "n_tokens", "ids_crc32", "text_crc32", "round_trip"]
                 if with_ids:
                     columns.append(pa.array([np.frombuffer(i, dtype="<i4") for i in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"doc_id {kind}, n_tokens long, ids_crc32 long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id"), "text").mapInArrow(worked, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids_crc32 long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    return docs.select("text", *(f.name for f in kept)).mapInArrow(worked, schema)
