@@ -28,40 +28,47 @@ def _letters() -> np.ndarray:
     return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)], dtype=bool)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
-    """Packed n-grams of letters and single spaces, a space at both ends; an n-gram holds no space inside."""
-    c = codes.astype(np.uint64)
-    one = c[c != 32]
-    two = c[:-1] << np.uint64(CHAR_BITS) | c[1:]
-    three = two[:-1] << np.uint64(CHAR_BITS) | c[2:] if len(c) > 2 else c[:0]
-    three = three[c[1:-1] != 32] if len(c) > 2 else three
-    return np.concatenate((one, two, three))
+@cache
+def _lower() -> np.ndarray:
+    """The lower-case letter of each code point (the first, where there are several), a space for all but letters."""
+    low = np.array([ord(chr(c).lower()[0]) for c in range(sys.maxunicode + 1)], dtype=np.uint32)
+    return np.where(_letters()[low], low, np.uint32(32))
+
+
+def _grams(c: np.ndarray, old: int) -> np.ndarray:
+    """Packed n-grams of letters and single spaces whose last character is not among the first ``old``, one or two.
+
+    None holds a space inside.
+    """
+    c = c.astype(np.uint64)
+    one = c[old:]
+    two = (c[:-1] << np.uint64(CHAR_BITS) | c[1:])[old - 1 :]
+    three = (c[:-2] << np.uint64(2 * CHAR_BITS) | c[1:-1] << np.uint64(CHAR_BITS) | c[2:])[c[1:-1] != 32]
+    return np.concatenate((one[one != 32], two, three))
 
 
 def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a whole text and their counts.  Everything but letters separates words."""
+    """Distinct n-grams of a whole text and their counts.  Everything but letters separates words.
+
+    A long text is counted a piece at a time, wherever the pieces end: the last two characters of a piece stay for the
+    n-grams that go on in the next, so the counts don't depend on the pieces.
+    """
     found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at, rest = 0, ""
-    while at < len(text) or rest:
-        piece = rest + text[at : at + PIECE]
-        at += PIECE
-        rest = ""
-        if at < len(text):
-            # a word that may go on waits for the next piece, if it isn't longer than one
-            cut = max(piece.rfind(" "), piece.rfind("\n"))
-            if cut > 0:
-                piece, rest = piece[:cut], piece[cut:]
-        codes = np.frombuffer(piece.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-        codes = np.where(_letters()[codes], codes, np.uint32(32))
-        codes = np.concatenate(([np.uint32(32)], codes, [np.uint32(32)]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-        if len(codes) < 3:
+    kept = np.array([32], dtype=np.uint32)
+    for at in range(0, len(text), PIECE):
+        new = _lower()[np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), dtype=np.uint32)]
+        if at + PIECE >= len(text):
+            new = np.concatenate((new, [np.uint32(32)]))
+        new = new[(new != 32) | (np.concatenate((kept[-1:], new[:-1])) != 32)]
+        codes = np.concatenate((kept, new))
+        if not len(new):
             continue
-        g, n = np.unique(_grams(codes), return_counts=True)
+        g, n = np.unique(_grams(codes, len(kept)), return_counts=True)
         if len(found):
             g, back = np.unique(np.concatenate((found, g)), return_inverse=True)
             n = np.bincount(back, np.concatenate((counts, n))).astype(np.int64)
         found, counts = g, n
+        kept = codes[-2:]
     return found, counts
 
 
