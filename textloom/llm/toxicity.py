@@ -18,6 +18,8 @@ MOST_FIT = 4000
 THRESHOLD = 0.7
 #: Bytes of sampled texts that may come to the driver; the sample is thinned to keep under it.
 MOST_BYTES = 80_000_000
+#: Longest text that is fitted on, in bytes (all are scored), and steps in which a sample is thinned.
+MOST_TEXT, STEPS = 1_000_000, 256
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: A word in which digits or signs stand for letters, or whose letters are set apart.
 LEET = re.compile(r"[^\W_]*(?:[0-9@$!|*][^\W_]+)+|\b(?:[^\W\d_][ .\-_*]){3,}[^\W\d_]\b")
@@ -153,25 +155,35 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT) -> ToxicityModel:
-    """Fits on at most ``most`` labelled rows of each class, chosen by hash of doc_id, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_FIT, most_bytes: int = MOST_BYTES) -> ToxicityModel:
+    """Fits on at most about ``most`` labelled rows of each class, chosen by hash of doc_id, none of them held out.
 
-    An id with several labels is toxic if one of them is; null ids, labels and texts are left out.  The bound is on
-    what comes to the driver: the few chosen ids are broadcast and the texts read once.
+    An id with several labels is toxic if one of them is; null ids, labels and texts are left out, and so are texts of
+    over MOST_TEXT bytes.  What comes to the driver holds at most ``most_bytes`` of text: the lengths of the rows to
+    choose from are summed up in steps of the hash, and each class is cut at the step where its half of the bytes is used up.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out())
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    mean = docs.agg(F.avg(F.octet_length("text"))).first()[0] or 0.0 if counts else 0.0
-    most = max(50, min(most, int(MOST_BYTES / max(1.0, 2 * mean))))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two classes
     part = {y: min(1.0, most / n) for y, n in counts.items()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    chosen = known.where(share < F.element_at(F.create_map(*[F.lit(x) for kv in part.items() for x in kv]), F.col("toxic"))) if part else known
-    picked = chosen.withColumnRenamed("doc_id", "id")
-    sample = docs.where("text is not null").join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").toArrow()
+    by_class = lambda of: F.element_at(F.create_map(*[F.lit(x) for kv in of.items() for x in kv]), F.col("toxic"))
+    if not part:
+        return ToxicityModel([], np.zeros(0), np.zeros(0))
+    few = known.where(share < by_class(part)).select(F.col("doc_id").alias("id"), "toxic", F.floor(share / by_class(part) * STEPS).alias("step"))
+    fits = docs.where(F.octet_length("text") <= MOST_TEXT)
+    rows = fits.select("doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id"))
+    used: dict[int, dict[int, int]] = {y: {} for y in part}
+    for r in rows.groupBy("toxic", "step").agg(F.sum(F.octet_length("text")).alias("bytes")).collect():  # STEPS a class at most
+        used[r["toxic"]][r["step"]] = r["bytes"]
+    steps = {}
+    for y, of in used.items():
+        sums = np.cumsum([of.get(k, 0) for k in range(STEPS)])
+        steps[y] = int(np.searchsorted(sums, most_bytes // len(used), "right"))
+    sample = rows.where(F.col("step") < by_class(steps)).select("doc_id", "text", "toxic").toArrow()
     order = sorted(range(sample.num_rows), key=lambda i: (sample["doc_id"][i].as_py(), sample["text"][i].as_py()))
     sample = sample.take(pa.array(order, pa.int64()))
     toxic = np.array(sample["toxic"].to_pylist(), dtype=np.float64)
-    weights = np.array([1.0 / part[int(y)] for y in toxic.tolist()])
+    weights = np.array([STEPS / (part[int(y)] * steps[int(y)]) for y in toxic.tolist()])
     return ToxicityModel(sample["text"].to_pylist(), toxic, weights)
 
 
