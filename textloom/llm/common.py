@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Whitespace in every contract of this package: space and the ASCII controls 9 to 13.
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Most rows that are ever broadcast explicitly; above that a side is joined by shuffle.
+#: Most rows, and most bytes of them, that are ever broadcast explicitly; above that a side is joined by shuffle.
 BROADCAST_ROWS = 400_000
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints: the one that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (a test) gets one of its own.
+    Only a local session without that setting (a test) gets one of its own: on a cluster, where a temporary folder
+    would be each machine's, it is an error.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="textloom-checkpoints-")
+        sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,12 +59,25 @@ def free_of_order(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if its rows were counted to be few, else unmarked (shuffle join).
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes: strings, binaries and lists of simple values by their length."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(value), F.lit(0)) * 16 + 24
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows were counted and measured to be few and small, else unmarked (shuffle join).
 
     df should be cheap to count (checkpointed rows of some bytes each).
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    size = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    n, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df
 
 
 def hex64(value: Column) -> Column:

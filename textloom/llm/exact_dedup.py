@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, reliable, small_side, text_or_empty
@@ -15,6 +17,8 @@ BASES = np.array([1103515245, 1664525053, 1284865837, 1583458089], dtype=np.uint
 CHUNK = 4096
 #: Bytes of a chunk of the streaming comparison.
 COMPARE = 16_384
+#: Bytes of a text above which it is cut into parts of that size, hashed by many tasks.
+HUGE = 8 << 20
 
 
 def _powers(n: int) -> np.ndarray:
@@ -57,27 +61,87 @@ def poly_hash(body: np.ndarray) -> list[int]:
     return h
 
 
+def _body() -> Column:
+    """A text's bytes with each run of white space made one space."""
+    return F.regexp_replace(text_or_empty(), WS, " ").cast("binary")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, f1, f2, text_sha256 of every row's normalised text."""
+    """doc_id, n_bytes, f1, f2, text_sha256 of every row's normalised text; f1 and f2 are null for texts of over HUGE bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    body = F.regexp_replace(text_or_empty(), WS, " ").cast("binary")
-    rows = docs.select("doc_id", body.alias("body")).select("doc_id", "body", F.sha2("body", 256).alias("text_sha256"))
+    rows = docs.select("doc_id", _body().alias("body")).select(
+        "doc_id", F.when(F.octet_length("body") <= HUGE, F.col("body")).alias("body"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("text_sha256")
+    )
 
     def hashed(batches):
         for batch in batches:
-            out = np.empty((3, batch.num_rows), dtype=np.int64)
-            for i, value in enumerate(batch.column(1)):
-                body = np.frombuffer(value.as_buffer(), dtype=np.uint8)
-                h = poly_hash(body)
-                out[:, i] = len(body), h[0] << 31 | h[1], h[2] << 31 | h[3]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out), batch.column(2)], names=["doc_id", "n_bytes", "f1", "f2", "text_sha256"])
+            out = [[], []]
+            for value in batch.column(1):
+                h = poly_hash(np.frombuffer(value.as_buffer(), dtype=np.uint8)) if value.is_valid else None
+                out[0].append(h and h[0] << 31 | h[1])
+                out[1].append(h and h[2] << 31 | h[3])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(f, pa.int64()) for f in out), batch.column(3)], names=["doc_id", "n_bytes", "f1", "f2", "text_sha256"])
 
     return rows.mapInArrow(hashed, f"doc_id {kind}, n_bytes long, f1 long, f2 long, text_sha256 string")
 
 
+def huge_fingerprints(docs: DataFrame) -> DataFrame:
+    """The rows of fingerprints() for texts of over HUGE bytes, each hashed by many tasks.
+
+    A text's parts are dealt out; each is hashed and shifted by the length of what follows it, and a text's shifted
+    hashes are summed up, first within tasks.  Rows that repeat an id and a text are one row.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.where(F.octet_length("text") > HUGE).select("doc_id", _body().alias("body")).select("doc_id", "body", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("text_sha256"))
+    starts = F.sequence(F.lit(1).cast("long"), F.col("n_bytes"), F.lit(HUGE).cast("long"))
+    parts = rows.where(F.col("n_bytes") > HUGE).select("doc_id", "text_sha256", "n_bytes", F.explode(starts).alias("at"), "body")
+    parts = parts.withColumn("part", F.substring(F.col("body"), F.col("at").cast("int"), F.lit(HUGE))).drop("body").repartition(n, "text_sha256", "at")
+
+    def hashed(batches):
+        for batch in batches:
+            shifted = [[], [], [], []]
+            for whole, at, value in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                part = np.frombuffer(value.as_buffer(), dtype=np.uint8)
+                h, _ = combine((poly_hash(part), len(part)), ([0, 0, 0, 0], whole - (at - 1) - len(part)))
+                for out, x in zip(shifted, h):
+                    out.append(x)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(x, pa.int64()) for x in shifted)], names=["doc_id", "text_sha256", "n_bytes", "at", "h0", "h1", "h2", "h3"])
+
+    each = parts.mapInArrow(hashed, f"doc_id {kind}, text_sha256 string, n_bytes long, at long, h0 long, h1 long, h2 long, h3 long")
+    once = each.groupBy("doc_id", "text_sha256", "n_bytes", "at").agg(*[F.max(f"h{k}").alias(f"h{k}") for k in range(4)])
+    sums = once.groupBy("doc_id", "text_sha256", "n_bytes").agg(*[(F.sum(f"h{k}") % P[k]).alias(f"h{k}") for k in range(4)])
+    pair = lambda a, b: F.shiftleft(F.col(a), 31).bitwiseOR(F.col(b))
+    return sums.select("doc_id", "n_bytes", pair("h0", "h1").alias("f1"), pair("h2", "h3").alias("f2"), "text_sha256")
+
+
+def all_fingerprints(docs: DataFrame) -> DataFrame:
+    """fingerprints() of every row, with those of huge texts filled in; written to the shared folder."""
+    prints = reliable(fingerprints(docs))
+    if prints.where("f1 is null").isEmpty():
+        return prints
+    huge = reliable(huge_fingerprints(docs)).select(F.struct("doc_id", "text_sha256", "f1", "f2").alias("_huge"))
+    same = F.col("doc_id").eqNullSafe(F.col("_huge")["doc_id"]) & (F.col("text_sha256") == F.col("_huge")["text_sha256"])
+    filled = prints.where("f1 is null").join(huge, same).select("doc_id", "n_bytes", F.col("_huge")["f1"].alias("f1"), F.col("_huge")["f2"].alias("f2"), "text_sha256")
+    return reliable(prints.where("f1 is not null").unionAll(filled))
+
+
 KEY = ["n_bytes", "f1", "f2"]
 
 
+def _chunks(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """fingerprint, member, sha, chunk_no and chunk of the texts of some members (doc_id, fingerprint, text_sha256).
+
+    Rows that repeat a doc_id may hold other texts: only those that the member stands for take part.
+    """
+    names = members.select(F.struct("doc_id", *KEY, "text_sha256").alias("_m"))
+    texts = docs.select("doc_id", "text").join(small_side(names), F.col("doc_id").eqNullSafe(F.col("_m")["doc_id"])).select("doc_id", "_m", _body().alias("body"))
+    texts = texts.where((F.octet_length("body") == F.col("_m")["n_bytes"]) & (F.sha2("body", 256) == F.col("_m")["text_sha256"]))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("n_bytes") - 1), F.lit(COMPARE).cast("long"))
+    pieces = F.transform(starts, lambda at: F.substring(F.col("body"), (at + 1).cast("int"), F.lit(COMPARE)))
+    return texts.select("_m.*", "body").select("doc_id", *KEY, "text_sha256", F.posexplode(pieces).alias("chunk_no", "chunk"))
+
+
 def unequal_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> DataFrame:
     """Keys of fingerprint groups whose texts are not all the same, found by comparing them chunk by chunk.
 
@@ -85,17 +149,24 @@ def unequal_groups(docs: DataFrame, prints: DataFrame, groups: DataFrame) -> Dat
     within each task: a group of any size is reduced before it is shuffled, and no task gathers a group.
     """
     shared = groups.where(F.col("group_size") > 1).select(*KEY)
-    members = prints.join(small_side(shared), KEY, "left_semi").select("doc_id", *KEY).distinct()
-    members = small_side(reliable(members)).withColumnRenamed("doc_id", "member")
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id").eqNullSafe(F.col("member"))).select(*KEY, F.regexp_replace(text_or_empty(), WS, " ").cast("binary").alias("body"))
-    # rows that repeat a doc_id may hold other texts: only those of this length take part (their own row is compared in its own group)
-    texts = texts.where(F.octet_length("body") == F.col("n_bytes"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n_bytes") - 1), F.lit(COMPARE).cast("long"))
-    chunks = texts.select(*KEY, F.posexplode(F.transform(starts, lambda at: F.substring(F.col("body"), (at + 1).cast("int"), F.lit(COMPARE)))).alias("chunk_no", "chunk"))
-    ends = chunks.groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
+    members = reliable(prints.join(small_side(shared), KEY, "left_semi").select("doc_id", *KEY, "text_sha256").distinct())
+    ends = _chunks(docs, members).groupBy(*KEY, "chunk_no").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     return ends.where(F.col("least") != F.col("most")).select(*KEY).distinct()
 
 
+def classes(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, text_sha256 and class of the members of unequal groups: two have a class if all their chunks are equal.
+
+    A chunk is named by the first member that has it; a member's names, one a chunk, are its class.
+    """
+    chunks = _chunks(docs, members)
+    name = F.struct(F.col("doc_id"), F.col("text_sha256"))
+    names = reliable(chunks.groupBy(*KEY, "chunk_no", "chunk").agg(F.min(name).alias("name")))
+    named = chunks.join(names, [*KEY, "chunk_no", "chunk"]).select("doc_id", *KEY, "text_sha256", "chunk_no", "name").distinct()
+    whole = named.groupBy("doc_id", *KEY, "text_sha256").agg(F.sort_array(F.collect_list(F.struct("chunk_no", "name"))).alias("all"))
+    return whole.select("doc_id", *KEY, "text_sha256", F.to_json("all").alias("class"))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -105,14 +176,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     and in group_size, and all are kept or none.  An empty table gives no rows; extra columns are not read.
 
     Texts are read once for fingerprints and, for groups of two or more, once more for the comparison; what is shuffled
-    between is some bytes a row.  A group that the comparison finds unequal is split by its texts' sha256.
+    between is some bytes a row.  Huge texts are hashed in parts, by many tasks.  A group that the comparison finds
+    unequal is split by the chunks in which its texts differ.
     """
-    prints = reliable(fingerprints(docs))
+    prints = all_fingerprints(docs)
     groups = reliable(prints.groupBy(*KEY).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     unequal = reliable(unequal_groups(docs, prints, groups))
     if not unequal.isEmpty():
-        split = prints.join(unequal.withColumn("unequal", F.lit(True)), KEY, "left").withColumn("split", F.when(F.col("unequal"), F.col("text_sha256")).otherwise(F.lit("")))
-        prints = split.drop("unequal")
+        members = reliable(prints.join(unequal, KEY, "left_semi").select("doc_id", *KEY, "text_sha256").distinct())
+        split = reliable(classes(docs, members)).select(F.struct("doc_id", *KEY, "text_sha256", "class").alias("_c"))
+        same = [F.col("doc_id").eqNullSafe(F.col("_c")["doc_id"]), *(F.col(k) == F.col("_c")[k] for k in [*KEY, "text_sha256"])]
+        prints = prints.join(split, functools.reduce(Column.__and__, same), "left").select("doc_id", *KEY, "text_sha256", F.coalesce(F.col("_c")["class"], F.lit("")).alias("split"))
         groups = reliable(prints.groupBy(*KEY, "split").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     key = [c for c in groups.columns if c not in ("keep_id", "group_size")]
     # groups is one row a key and was written, so a hot key is split by the skew join
@@ -122,7 +196,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without those whose text another row of smaller doc_id has.
 
-    Of rows that repeat an id and a text one stays.  The ids that go are broadcast if they are few; else rows are dealt
+    Null text counts as empty, and of rows with a null id and one text that no other id has, one stays.  Of rows that
+    repeat an id and a text one stays.  An empty table gives an empty one.  The ids that go are broadcast if they are few; else rows are dealt
     by id once.
     """
     found = reliable(exact_dedup(docs))
