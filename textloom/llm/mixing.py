@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ids_hash_bucket, reliable
+from .common import WORD, ids_hash_bucket, reliable, small_side
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -139,16 +140,51 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST_RE
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs' rows and columns, each as often as it is taken in whole, range-sorted by position.
 
-    Rows that repeat a doc_id are taken alike.
+    A row with null text, or without words, has nothing to take and is left out, as is one that the mix doesn't reach.
+    Null ids and null sources are ids and a source like others.  Rows that repeat a doc_id are taken alike, as often as
+    the one of them that is taken most.  Equal positions go by doc_id.  An empty table gives an empty one.  Extra
+    columns pass through.
+
+    Positions are worked out from ids and sizes alone.  If the ids that are taken are few and small they are broadcast,
+    and texts are shuffled once, to be sorted; else once more, to meet their positions.
     """
     taken = assign(docs, **options).groupBy("doc_id").agg(F.max("positions").alias("positions")).where(F.size("positions") > 0)
-    taken = reliable(taken).select(F.struct("doc_id", "positions").alias("_mix"))
+    taken = small_side(reliable(taken.select(F.struct("doc_id", "positions").alias("_mix"))))
     rows = docs.select(F.struct(*docs.columns).alias("_row")).join(taken, F.col("_row")["doc_id"].eqNullSafe(F.col("_mix")["doc_id"]))
     each = rows.select("_row", F.explode(F.col("_mix")["positions"]).alias("_position"))
     return each.orderBy("_position", F.col("_row")["doc_id"]).select("_row.*")
 
 
-SQL = r"""
+def in_order(mixed: DataFrame) -> DataFrame:
+    """A written mix with its order: its columns, and ``_order``, each row's number from 0 in the order of writing.
+
+    Files are put in order by the number of the task that wrote them, rows by their place in the file; files' row counts
+    are added up in a window over files.  A table that isn't of files counts as one in the order of its partitions.
+    """
+    try:
+        rows = mixed.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        number = lambda pattern: F.coalesce(F.try_to_number(F.regexp_extract(F.col("_file"), pattern, 1), F.lit("9999999999")).cast("long"), F.lit(0))
+        rows = rows.withColumn("_part", F.struct(number(r"^part-(\d+)").alias("task"), number(r"-c(\d+)\.").alias("of_task"), F.col("_file").alias("name"))).drop("_file")
+    except AnalysisException:
+        made = F.monotonically_increasing_id()
+        rows = mixed.withColumn("_part", F.struct(F.shiftright(made, 33).alias("task"), F.lit(0).cast("long").alias("of_task"), F.lit("").alias("name")))
+        rows = rows.withColumn("_row", made.bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("_part").agg((F.max("_row") + 1).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(starts), F.col("_part") == F.col("_of")).withColumn("_order", F.col("_first") + F.col("_row")).select(*mixed.columns, "_order")
+
+
+def _sql(phases=CURRICULUM) -> str:
+    """DuckDB's SQL for op8: the same integral and inversion, from the same schedule."""
+    ends = [0.0, *(float(e) for e, _ in phases)]
+    now = [f"weight * [{', '.join(map(repr, map(float, f)))}][rank % 3 + 1]" for _, f in phases]
+    parts = [f"({x}) / (sum({x}) OVER ()) * {ends[k + 1] - ends[k]!r}::DOUBLE" for k, x in enumerate(now)]
+    curve = [" + ".join(["0.0::DOUBLE", *(f"part{m}" for m in range(k))]) for k in range(len(phases) + 1)]
+    return SQL_TEMPLATE.replace("{PARTS}", ", ".join(f"{x} AS part{k}" for k, x in enumerate(parts))).replace("{CURVE}", ", ".join(curve)).replace("{ENDS}", ", ".join(f"{e!r}::DOUBLE" for e in ends)).replace("{PHASES}", str(len(phases)))
+
+
+SQL_TEMPLATE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
@@ -165,11 +201,28 @@ WITH d AS (
   SELECT l.*, (SELECT l2.level FROM l l2, f WHERE l2.place = f.place) AS free_level, (SELECT place FROM f) AS free FROM l
 ), t AS (
   SELECT source, source_size, CASE WHEN place >= free THEN least(free_level * weight, cap::DOUBLE) ELSE cap::DOUBLE END AS target FROM g
+), p AS (
+  SELECT t.*, w.rank, w.weight, (SELECT sum(source_size) FROM w)::BIGINT AS total FROM t JOIN w ON t.source IS NOT DISTINCT FROM w.source
+), q AS (
+  SELECT *, {PARTS} FROM p
+), r AS (
+  SELECT * EXCLUDE (curve), [CASE WHEN curve[-1] > 0 THEN x / curve[-1] ELSE 0.0 END FOR x IN curve] AS curve FROM (SELECT *, [{CURVE}] AS curve FROM q)
 ), c AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), m AS (
+  SELECT c.doc_id, c.size, c.start, r.*,
+         (CASE WHEN r.source_size > 0 THEN round(r.target)::BIGINT // r.source_size ELSE 0 END)::BIGINT AS full_passes,
+         greatest(0, least(c.size, (CASE WHEN r.source_size > 0 THEN round(r.target)::BIGINT % r.source_size ELSE 0 END) - c.start))::BIGINT AS rest,
+         CASE WHEN r.target > 0 THEN least(c.start::DOUBLE / r.target, 1.0) ELSE 0.0 END AS share
+  FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source
+), n AS (
+  SELECT *, (full_passes * size + rest)::BIGINT AS taken,
+         full_passes + CASE WHEN rest > 0 AND rest * 2 >= size THEN 1 ELSE 0 END AS copies,
+         greatest(1, least(len([x FOR x IN curve IF x <= share]), {PHASES})) AS k, [{ENDS}] AS ends
+  FROM m
 )
-SELECT c.doc_id, c.size, t.source_size, t.target,
-       (CASE WHEN t.source_size > 0 THEN round(t.target)::BIGINT // t.source_size ELSE 0 END * c.size
-        + greatest(0, least(c.size, CASE WHEN t.source_size > 0 THEN round(t.target)::BIGINT % t.source_size ELSE 0 END - c.start)))::BIGINT AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, taken, copies::BIGINT AS copies,
+       CASE WHEN taken > 0 THEN (ends[k] + CASE WHEN curve[k + 1] > curve[k] THEN (share - curve[k]) / (curve[k + 1] - curve[k]) * (ends[k + 1] - ends[k]) ELSE 0.0 END) * total END AS position
+FROM n
 """
+SQL = _sql()
