@@ -6,7 +6,7 @@ little alone: they are reported only when the parts that complete a credential s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import reliable, text_or_empty
@@ -25,6 +25,34 @@ KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 SCOPE = 400
 #: What each kind is a part of: an access identifier (a), a secret (s) or an endpoint (e).
 PART = {"assign": "s", "access": "a", "hex": "s", "ident": "a", "opaque": "s", "endpoint": "e"}
+#: The parts that complete each weak kind; all of them have to be near.
+NEEDS = {"ident": "s", "opaque": "a", "endpoint": "as"}
+#: Numbers that are added up one after another; more are added up in blocks of that many.
+BLOCK = 512
+SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(sizes: Column, levels: int = 1) -> Column:
+    """The sum of the numbers before each place of an array, and of all of them at its end.
+
+    Adding one to a growing array copies it, so long arrays are cut in blocks, whose sums are added up the same way: the
+    work is in proportion to the array as long as it has no more than some ten thousand blocks (five million places).
+    """
+
+    def plain(a: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    if not levels:
+        return plain(sizes, F.lit(0))
+    cut = lambda a: F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(a, i, F.lit(BLOCK)))
+    total = lambda b: F.aggregate(b, F.lit(0), lambda acc, n: acc + n)
+    return _with(_with(sizes, cut), lambda b: F.flatten(F.zip_with(b, running(F.transform(b, total), levels - 1), plain)))
 
 
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -33,77 +61,89 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
     The matches and the texts between them alternate, so their lengths add up to positions.  Matches whose group is
     shorter than least are dropped afterwards: they have used up their text.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast(f"array<{SPAN}>")
+    lengths = lambda g: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), lambda m: F.length(m))
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    sizes = F.transform(found, lambda m: F.length(m))
-    groups = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if least else sizes
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>").alias("out"))
-    rank = KINDS.index(kind)
+    pair = lambda gap, size: F.struct(gap.alias("gap"), size.alias("size"))
+    # the last gap has no match behind it: its size is null, and it goes
+    pairs = F.filter(F.zip_with(gaps, lengths(0), pair), lambda p: p["size"].isNotNull())
+    if least:
+        pairs = F.zip_with(pairs, lengths(group), lambda p, n: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), n.alias("part")))
+    rank = F.lit(KINDS.index(kind))
+
+    def placed(all_pairs: Column) -> Column:
+        starts = running(F.transform(all_pairs, lambda p: p["gap"] + p["size"]))
+        each = F.zip_with(starts, all_pairs, lambda at, p: F.struct((at + p["gap"]).alias("start"), rank.alias("rank"), (at + p["gap"] + p["size"]).alias("end"), F.lit(kind).alias("kind"), *([p["part"].alias("part")] if least else [])))
+        kept = F.filter(each, lambda s: s["part"] >= least) if least else each
+        return kept if not least else F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + x["size"]
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["part"] >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+    return F.when(text.rlike(pattern), _with(pairs, placed)).otherwise(none)
 
-    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), F.arrays_zip(sizes.alias("size"), groups.alias("part")), lambda g, m: F.struct(g.alias("gap"), m["size"].alias("size"), m["part"].alias("part")))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step)["out"]).otherwise(zero["out"])
+
+def _name(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], span["start"].cast("string"), span["end"].cast("string"))
 
 
 def _listed(array: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(array), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.array_sort(array), _name), ",")
 
 
 def linked(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
-    """Weak spans that complementary parts stand near: key and an array of them.
+    """Weak spans that complementary parts stand near: key, and an array of them with their partners.
 
-    An interval join without pairs.  The texts are cut in cells of one scope; every part announces in each cell it
-    touches, and in the cells beside, the ends that its neighbours there need: in a cell before, its start (the next
-    part of that kind), in a cell after, its end (the last one), in its own, that it is there.  Cells are aggregated
-    before they meet the weak spans, so a weak span meets one row, whatever the number of parts around it.
+    An interval join without pairs: every part is a point at its end and one at its start, in the order of the text, and
+    a weak span looks back from its own start over the ends, and on from its own end over the starts, as far as the
+    scope goes.  A window so wide holds a bounded number of parts, however many a text has.  What comes back of it is how
+    many parts of each sort there are, and the nearest.
 
     ident: needs a secret.  opaque: needs an access identifier.  endpoint: needs both an identifier and a secret.
-    Parts that only overlap the span itself don't complete it.
+    Parts that only overlap the span itself don't complete it, and a weak span that overlaps a base one is that one's.
     """
     p = parts.withColumn("part", F.element_at(F.create_map(*[F.lit(x) for kv in PART.items() for x in kv]), F.col("kind")))
-    cell = lambda c: F.floor(c / scope).cast("int")
-    there = p.withColumn("cell", F.explode(F.sequence(cell(F.col("start")) - 2, cell(F.col("end")) + 2)))
-    low, high = F.col("cell") * scope, (F.col("cell") + 1) * scope
-    # in a cell, the nearest end at or before it, the nearest start at or after it, and all that start in it
-    there = there.withColumn("before", F.when(F.col("end") <= low, F.col("end"))).withColumn("after", F.when(F.col("start") >= high, F.col("start")))
-    there = there.withColumn("inside", F.when((F.col("start") < high) & (F.col("end") > low), F.struct("start", "end")))
-    sums = []
-    for k in "ase":
-        mine = F.col("part") == k
-        sums += [
-            F.max(F.when(mine, F.col("before"))).alias(f"{k}_before"),
-            F.min(F.when(mine, F.col("after"))).alias(f"{k}_after"),
-            F.min(F.when(mine, F.col("inside")["end"])).alias(f"{k}_first_end"),
-            F.max(F.when(mine, F.col("inside")["start"])).alias(f"{k}_last_start"),
-        ]
-    cells = there.groupBy(*key, "cell").agg(*sums)
-    # parts before it are looked up in the cell of its start, parts after it in that of its end
-    weak = p.where(F.col("kind").isin("ident", "opaque", "endpoint")).withColumn("look", F.explode(F.array(F.lit("before"), F.lit("after"))))
-    weak = weak.withColumn("cell", cell(F.when(F.col("look") == "before", F.col("start")).otherwise(F.col("end"))))
-    joined = weak.join(cells, [*key, "cell"])
-    start, end = F.col("start"), F.col("end")
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    near = lambda k: F.when(
-        F.col("look") == "before", yes(start - F.col(f"{k}_before") <= scope) | yes(F.col(f"{k}_first_end") <= start)
-    ).otherwise(yes(F.col(f"{k}_after") - end <= scope) | yes(F.col(f"{k}_last_start") >= end))
-    found = joined.groupBy(*key, "start", "rank", "end", "kind").agg(F.max(near("a")).alias("near_a"), F.max(near("s")).alias("near_s"))
-    kept = found.where(
-        ((F.col("kind") == "ident") & F.col("near_s")) | ((F.col("kind") == "opaque") & F.col("near_a")) | ((F.col("kind") == "endpoint") & F.col("near_a") & F.col("near_s"))
-    )
-    return kept.groupBy(*key).agg(F.collect_set(F.struct("start", F.col("rank"), "end", "kind")).alias("weak"))
+    weak = F.col("kind").isin(*NEEDS)
+    span = F.struct("start", "rank", "end", "kind").alias("span")
+    row = lambda at, asks: F.struct(F.col(at).alias("at"), F.lit(asks).alias("asks"))
+    # as a candidate at one end, and a weak one as a question at the other
+    back = p.select(*key, span, "part", F.explode(F.when(weak, F.array(row("end", False), row("start", True))).otherwise(F.array(row("end", False)))).alias("p")).select(*key, "span", "part", "p.*")
+    on = p.select(*key, span, "part", F.explode(F.when(weak, F.array(row("start", False), row("end", True))).otherwise(F.array(row("start", False)))).alias("p")).select(*key, "span", "part", "p.*")
+    found = []
+    for points, frame, sign in ((back, (-scope, 0), -1), (on, (0, scope), 1)):
+        around = Window.partitionBy(*key).orderBy("at").rangeBetween(*frame)
+        sums = []
+        for k in "as":
+            mine = ~F.col("asks") & (F.col("part") == k)
+            sums += [
+                F.count(F.when(mine, F.lit(1))).over(around).alias(f"n_{k}"),
+                F.min(F.when(mine, F.struct((F.col("at") * sign).alias("far"), "span"))).over(around).alias(f"near_{k}"),
+            ]
+        asked = points.select(*key, "span", "at", "asks", *sums).where("asks")
+        gap = lambda k: F.when(F.col(f"n_{k}") > 0, F.struct((F.col(f"near_{k}")["far"] - F.col("at") * sign).alias("gap"), F.lit(sign).alias("side"), F.col(f"near_{k}")["span"].alias("of")))  # noqa: E731, B023
+        found.append(asked.select(*key, "span", "n_a", "n_s", gap("a").alias("near_a"), gap("s").alias("near_s")))
+    both = found[0].unionAll(found[1]).groupBy(*key, "span").agg(F.sum("n_a").alias("n_a"), F.sum("n_s").alias("n_s"), F.min("near_a").alias("near_a"), F.min("near_s").alias("near_s"))
+    # base spans that begin at a weak one's start or before, and those that begin inside it
+    base = ~weak
+    upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*key).orderBy(-F.col("start")).rangeBetween(Window.unboundedPreceding, -1)
+    inside = p.select(*key, span, F.max(F.when(base, F.col("end"))).over(upto).alias("reach"), F.min(F.when(base, F.col("start"))).over(after).alias("next")).where(F.col("span.kind").isin(*NEEDS))
+    free = inside.where(~(F.coalesce(F.col("reach"), F.lit(0)) > F.col("span.start")) & ~F.coalesce(F.col("next") < F.col("span.end"), F.lit(False))).select(*key, "span")
+    need = {k: F.col("span.kind").isin(*[w for w, n in NEEDS.items() if k in n]) for k in "as"}
+    kept = both.where(((F.col("n_a") > 0) | ~need["a"]) & ((F.col("n_s") > 0) | ~need["s"])).join(free, [*key, "span"], "left_semi")
+    partner = [F.when(need[k], F.col(f"near_{k}")["of"]) for k in "as"]
+    links = F.when(need["a"], F.col("n_a")).otherwise(F.lit(0)) + F.when(need["s"], F.col("n_s")).otherwise(F.lit(0))
+    one = F.struct("span.*", F.filter(F.array(*partner), lambda x: x.isNotNull()).alias("partners"), links.alias("links"))
+    return kept.groupBy(*key).agg(F.collect_list(one).alias("weak"))
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_weak.
+    """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_weak, n_links, partners.
+
+    Spans are code points, end exclusive.  ``spans`` lists base and weak ones; ``n_links`` is how many complementary
+    parts stand within the scope of the weak ones, and ``partners`` lists each weak span with the nearest part of each
+    sort that completes it (of two at one distance the one before it), as ``kind:start:end<kind:start:end``.
 
-    Spans are code points, end exclusive.  Null text counts as empty: no spans, and base_sha256 is that of the empty
-    string.  Null doc_ids and repeated rows give a row each.  Empty table: no rows.  Extra columns are not read.
-    Texts are read once; only rows that hold a weak part beside another part are exploded, to a row per part.
+    Null text counts as empty: no spans, and base_sha256 is that of the empty string.  Null doc_ids and repeated rows
+    give a row each.  Empty table: no rows.  Extra columns are not read.  Texts are read once, in time that is in
+    proportion to their length; only rows that hold a weak part beside another part are exploded, to a row per part.
     """
     text = text_or_empty()
     # keyed by content too: rows that repeat a doc_id may hold different texts
@@ -120,16 +160,18 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = linked(parts.select("no_id", "id", "text_hash", F.inline("all")), ["no_id", "id", "text_hash"], scope)
     left = rows.withColumn("no_id", F.col("doc_id").isNull()).withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     out = left.join(weak, ["no_id", "id", "text_hash"], "left")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    # a weak span inside a base one is that one's, not a find of its own
-    weak_kept = F.filter(F.coalesce("weak", none), lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    none = F.array().cast(f"array<struct<start:int,rank:int,end:int,kind:string,partners:array<{SPAN}>,links:bigint>>")
+    bare = F.transform("weak", lambda w: F.struct(w["start"].alias("start"), w["rank"].alias("rank"), w["end"].alias("end"), w["kind"].alias("kind")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return out.withColumn("weak_kept", weak_kept).select(
+    pairs = F.flatten(F.transform(F.array_sort("weak"), lambda w: F.transform(w["partners"], lambda o: F.concat(_name(w), F.lit("<"), _name(o)))))
+    return out.withColumn("weak", F.coalesce("weak", none)).select(
         "doc_id",
         count("assign").alias("n_assign"),
         count("access").alias("n_access"),
         count("hex").alias("n_hex"),
         F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.concat("base", "weak_kept")).alias("spans"),
-        F.size("weak_kept").cast("long").alias("n_weak"),
+        _listed(F.concat(F.col("base"), bare)).alias("spans"),
+        F.size("weak").cast("long").alias("n_weak"),
+        F.aggregate("weak", F.lit(0).cast("long"), lambda acc, w: acc + w["links"]).alias("n_links"),
+        F.array_join(pairs, ",").alias("partners"),
     )
