@@ -2,12 +2,15 @@
 
 The graph joins each vector of a bounded sample to its nearest ones; it is cut into parts of equal size, and a classifier
 learns the part from the vector.  Every vector is indexed in its most probable part; a query goes to its several most
-probable parts and is ranked there by exact cosine.
+probable parts and is ranked there by exact cosine.  The number of parts grows with the root of the number of vectors.
+Where one classifier would have too many parts to tell apart, each of its parts is divided again, by a graph and a
+classifier of its own, fitted on a sample of that part.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,8 @@ from .common import reliable
 #: Vectors that the graph and the classifier are fitted on (a sample by hash of vec_id); all are indexed.
 MOST_FIT = 6000
 NEIGHBOURS = 10
-#: Vectors aimed at in a part, and most parts.
-PART, MOST_PARTS = 2048, 256
+#: A table of n vectors has about sqrt(n) / SPREAD parts, in powers of two; a classifier tells so many apart at most.
+SPREAD, MOST_PARTS = 4, 256
 #: Recall that the number of routed parts is chosen for, on sample vectors that the classifier was not fitted on.
 AIM = 0.97
 #: Least and most vectors of a block of a part, and most queries that meet it at once.
@@ -125,35 +128,110 @@ class Router:
         return self._soft(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
+def parts_of(n: int) -> int:
+    """The number of parts for n vectors, a power of two; two at least where there are vectors for two."""
+    return 1 if n < 4 else 1 << max(1, round(math.log2(math.sqrt(n) / SPREAD)))
+
+
+class Level:
+    """A neighbour graph's parts and the classifier that tells them."""
+
+    def __init__(self, x: np.ndarray, parts: int):
+        """x: unit vectors of a sample, at least two."""
+        near = neighbours(x, x, min(NEIGHBOURS, len(x) - 1), np.arange(len(x)))
+        label = balanced_parts(near, parts)
+        self.parts = parts
+        self.soft = (np.eye(parts)[label] + np.eye(parts)[label[near]].sum(axis=1)) / (near.shape[1] + 1)
+        self.router = Router(x, self.soft)
+
+    def packed(self) -> bytes:
+        """The classifier alone."""
+        self.router.w = [w.astype(np.float32) for w in self.router.w]
+        self.soft = None
+        return pickle.dumps(self)
+
+
 class Partitions:
-    """Parts, their classifier, and the number of parts a query is sent to."""
+    """Parts of one level or two, their classifiers, and the number of parts a query is sent to."""
 
     def __init__(self, x: np.ndarray, parts: int, aim: float = AIM):
-        x = unit(x)
-        self.parts, self.probes, self.router = 1, 1, None
-        if parts < 2 or len(x) < 50 * parts // 4 + 100:
+        x = unit(x) if len(x) else x
+        self.aim, self.top, self.below, self.first = aim, None, {}, None
+        self.parts = self.probes = 1
+        if parts < 2 or len(x) < 4:
             return
-        near = neighbours(x, x, NEIGHBOURS, np.arange(len(x)))
-        label = balanced_parts(near, parts)
-        soft = (np.eye(parts)[label] + np.eye(parts)[label[near]].sum(axis=1)) / (NEIGHBOURS + 1)
-        held = np.arange(len(x)) % 8 == 0
-        # calibrated on vectors that a first classifier hasn't seen, then fitted on all
-        first = Router(x[~held], soft[~held])
-        home = first.probabilities(x).argmax(axis=1)
-        true = neighbours(x, x[held], 5, np.flatnonzero(held))
-        order = np.argsort(-first.probabilities(x[held]), axis=1, kind="stable")
-        place = np.argsort(order, axis=1)
-        at = np.take_along_axis(place, home[true], axis=1)
-        recall = [(at < m).mean() for m in range(1, parts + 1)]
         self.parts = parts
-        self.probes = 1 + next((m for m, r in enumerate(recall) if r >= aim), parts - 1)
-        self.router = Router(x, soft)
+        self.top = Level(x, parts)
+        # a second classifier, which hasn't seen every eighth vector, is there to be tried on those
+        self.held = np.arange(len(x)) % 8 == 0
+        self.first = Router(x[~self.held], self.top.soft[~self.held])
+        self.starts = np.arange(parts)
+        self.calibrate(x)
+
+    def divide(self, below: dict[int, "Level"], x: np.ndarray) -> None:
+        """Divides parts by levels of their own; x is the sample again."""
+        self.below = below
+        sizes = np.array([below[p].parts if p in below else 1 for p in range(self.top.parts)])
+        self.starts = np.cumsum(sizes) - sizes
+        self.parts = int(sizes.sum())
+        self.calibrate(unit(x))
+
+    def calibrate(self, x: np.ndarray) -> None:
+        """Chooses the number of parts a query goes to so that sample vectors find their neighbours among the others.
+
+        The share found is estimated on vectors that the first classifier hasn't seen; it is asked to lie over ``aim``
+        by as much as it is uncertain.
+        """
+        held = np.flatnonzero(self.held)
+        home = self._home(x, self.first)
+        k = min(5, len(x) - 1)
+        true = neighbours(x, x[held], k, held)
+        place = np.empty((len(held), k), dtype=np.int64)
+        for at in range(0, len(held), 64):
+            some = held[at : at + 64]
+            p = self._all(x[some], self.first)
+            mine = np.take_along_axis(p, home[true[at : at + 64]], axis=1)
+            place[at : at + 64] = (p[:, None, :] > mine[:, :, None]).sum(axis=2) if self.parts <= 1024 else np.array([[np.count_nonzero(row > v) for v in vs] for row, vs in zip(p, mine)])
+        found = np.cumsum(np.bincount(place.ravel(), minlength=self.parts)) / place.size
+        sure = found - np.sqrt(found * (1 - found) / len(held))
+        self.probes = min(self.parts, 1 + next((m for m, r in enumerate(sure, 1) if r >= self.aim), self.parts))
+
+    def _all(self, x: np.ndarray, router: Router) -> np.ndarray:
+        """Probabilities of all parts of unit vectors: of the upper part, times that within it."""
+        p = router.probabilities(x)
+        return p if not self.below else np.concatenate([p[:, [k]] * self.below[k].router.probabilities(x) if k in self.below else p[:, [k]] for k in range(self.top.parts)], axis=1)
+
+    def _home(self, x: np.ndarray, router: Router) -> np.ndarray:
+        upper = router.probabilities(x).argmax(axis=1)
+        out = self.starts[upper]
+        for k in np.intersect1d(upper, list(self.below)):
+            rows = np.flatnonzero(upper == k)
+            out[rows] += self.below[int(k)].router.probabilities(x[rows]).argmax(axis=1)
+        return out
+
+    def upper(self, x: np.ndarray) -> np.ndarray:
+        """The part of the upper level that each row is in."""
+        return np.zeros(len(x), dtype=np.int64) if self.top is None else self.top.router.probabilities(unit(x)).argmax(axis=1)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        """The part that each row is indexed in."""
+        return np.zeros(len(x), dtype=np.int64) if self.top is None else self._home(unit(x), self.top.router)
 
     def order(self, x: np.ndarray) -> np.ndarray:
-        """Parts of each row, the most probable first."""
-        if self.router is None:
+        """All parts for each row, the most probable first; a row's own is the first of all."""
+        if self.top is None:
             return np.zeros((len(x), 1), dtype=np.int64)
-        return np.argsort(-self.router.probabilities(unit(x)), axis=1, kind="stable")
+        p = self._all(unit(x), self.top.router)
+        p[np.arange(len(x)), self.home(x)] = 2
+        return np.argsort(-p, axis=1, kind="stable")
+
+    def slim(self) -> "Partitions":
+        """What routing needs: the calibration's classifier and sample are left behind."""
+        out = Partitions(np.zeros((0, 1)), 1)
+        out.top, out.below, out.parts, out.probes = self.top, self.below, self.parts, self.probes
+        if out.top is not None:
+            out.starts, out.top.soft = self.starts, None
+        return out
 
 
 def _dense(column) -> np.ndarray:
@@ -209,6 +287,50 @@ def usable(vectors: DataFrame) -> DataFrame:
     return good.where(F.size("embedding") == (length["d"] if length else 0)).dropDuplicates(["vec_id", "embedding"])
 
 
+def _sampled(most: float):
+    """Whether a row is in a sample of about ``most`` of 1, by hash of its id."""
+    return F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) / 1_000_000.0 < most
+
+
+def fit(good: DataFrame, n: int, aim: float = AIM, most_fit: int = MOST_FIT) -> Partitions:
+    """Parts for n usable vectors, fitted on about ``most_fit`` of them, and in two levels on so many of each upper part.
+
+    The upper level comes to the driver as a sample, the lower ones (MOST_PARTS at most) as classifiers only, fitted each
+    in a task: both have a bound that doesn't grow with the table.  No part is divided further than the root rule asks
+    of the whole, so a part that is larger than the others has more parts below it.
+    """
+    aimed = parts_of(n)
+    sample = good.where(_sampled(min(1.0, most_fit / max(1, n)))).toArrow().sort_by("vec_id")
+    x = _dense(sample["embedding"])
+    model = Partitions(x, min(MOST_PARTS, aimed), aim)
+    if aimed <= MOST_PARTS or model.top is None:
+        return model.slim()
+    shared = good.sparkSession.sparkContext.broadcast(model.slim())
+
+    def placed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.upper(_dense(batch.column(1))), pa.int64())], names=["vec_id", "embedding", "part"])
+
+    upper = good.mapInArrow(placed, "vec_id long, embedding array<double>, part long")
+    sizes = {r["part"]: r["n"] for r in upper.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_PARTS rows
+    below = {p: min(MOST_PARTS, 1 << round(math.log2(max(1, size * aimed / n)))) for p, size in sizes.items()}
+    below = {p: b for p, b in below.items() if b > 1}
+    if not below:
+        return model.slim()
+    rate = F.create_map(*[F.lit(v) for p in below for v in (p, min(1.0, most_fit / sizes[p]))])
+
+    def divided(key: tuple, part: pa.Table) -> pa.Table:
+        p, rows = key[0].as_py(), part.sort_by("vec_id")
+        x = _dense(rows["embedding"])
+        able = len(x) >= 4
+        return pa.table({"part": pa.array([p] * able, pa.int64()), "level": pa.array([Level(unit(x), below[p]).packed()] * able if able else [], pa.binary())})
+
+    some = upper.where(F.col("part").isin(*below)).where(_sampled(F.element_at(rate, F.col("part"))))
+    levels = some.groupBy("part").applyInArrow(divided, "part long, level binary").collect()
+    model.divide({r["part"]: pickle.loads(r["level"]) for r in levels}, x)
+    return model.slim()
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = AIM, most_fit: int = MOST_FIT) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, the k nearest of all others.
 
@@ -222,42 +344,60 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, aim: float = AIM, m
     spark = vectors.sparkSession
     good = reliable(usable(vectors))
     n = good.count()
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = good.where(share < min(1.0, most_fit / max(1, n))).toArrow() if n > 2 * PART else None
-    parts = min(MOST_PARTS, 1 << max(0, math.ceil(math.log2(max(1, n) / PART)))) if n > 2 * PART else 1
-    if sample is not None and sample.num_rows:
-        sample = sample.sort_by("vec_id")
-        model = Partitions(_dense(sample["embedding"]), parts, aim)
-    else:
-        model = Partitions(np.ones((1, 2)), 1)
+    model = fit(good, n, aim, most_fit)
     shared = spark.sparkContext.broadcast(model)
 
+    def homed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.home(_dense(batch.column(1))).astype(np.int32))], names=["vec_id", "embedding", "part"])
+
     def routed(batches):
         for batch in batches:
-            order = shared.value.order(_dense(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "embedding", "route"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                order = shared.value.order(_dense(some.column(1)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "embedding", "route"])
 
-    placed = good.mapInArrow(routed, "vec_id long, embedding array<double>, route array<int>")
-    index = placed.select("vec_id", "embedding", F.element_at("route", 1).alias("part"))
-    queries = placed.where(F.col("vec_id") % every == 0)
-    sizes = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most MOST_PARTS rows
+    index = good.mapInArrow(homed, "vec_id long, embedding array<double>, part int")
+    sizes = reliable(index.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
     # an id with vectors in several parts is held by the first of them alone, so that parts never hold more than they have
     own = index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    ids = {r["part"]: r["n"] for r in own.collect()}  # at most MOST_PARTS rows
-    n_queries = n // every + 1
+    # both have at most a row a part, MOST_PARTS squared
+    counts = np.zeros(model.parts, dtype=np.int64)
+    held_ids = np.zeros(model.parts, dtype=np.int64)
+    for out, rows in ((counts, sizes), (held_ids, own)):
+        for r in rows.collect():
+            out[r["part"]] = r["n"]
     block = max(BLOCK, min(MOST_BLOCK, n // 64))
-    blocks = F.create_map(*[F.lit(v) for p in range(model.parts) for v in (p, max(1, -(-sizes.get(p, 0) // block)))])
-    rows = F.create_map(*[F.lit(v) for p in range(model.parts) for v in (p, ids.get(p, 0))])
-    query_blocks = max(1, -(-n_queries // MOST_QUERIES))
-    # the most probable parts, and further ones until they hold k ids beside the query's own
-    run = F.aggregate("route", F.struct(F.lit(0).alias("held"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("go")), lambda acc, p: F.when(
-        (acc["used"] < model.probes) | (acc["held"] <= k),
-        F.struct((acc["held"] + F.element_at(rows, p)).cast("int").alias("held"), (acc["used"] + 1).alias("used"), F.concat(acc["go"], F.array(p)).alias("go")),
-    ).otherwise(acc))
-    asked = queries.select("vec_id", "embedding", F.explode(run["go"]).alias("part")).select(
-        "vec_id", "embedding", "part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)).alias("c")
-    )
-    held = index.select("vec_id", "embedding", "part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), F.pmod(F.xxhash64("vec_id"), F.element_at(blocks, F.col("part"))).cast("int").alias("c"))
+    in_parts = spark.sparkContext.broadcast((np.maximum(1, -(-counts // block)), held_ids))
+    query_blocks = max(1, -(-(n // every + 1) // MOST_QUERIES))
+
+    def sent(batches):
+        """For each query the most probable parts, and further ones until they hold k ids beside the query's own."""
+        blocks, ids = in_parts.value
+        for batch in routed(batches):
+            rows, parts, cells = [], [], []
+            for i, route in enumerate(batch.column(2)):
+                route = np.array(route.values)
+                used = max(model_probes, int(np.searchsorted(np.cumsum(ids[route]), k, "right")) + 1)
+                for p in route[:used].tolist():
+                    rows += [i] * int(blocks[p])
+                    parts += [p] * int(blocks[p])
+                    cells += range(int(blocks[p]))
+            some = batch.select(["vec_id", "embedding"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(parts, pa.int32()), pa.array(cells, pa.int32())], names=["vec_id", "embedding", "part", "c"])
+
+    def dealt(batches):
+        blocks, _ = in_parts.value
+        for batch in homed(batches):
+            of = blocks[batch.column(2).to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of.astype(np.int32))], names=["vec_id", "embedding", "part", "blocks"])
+
+    model_probes = model.probes
+    spread = F.xxhash64("vec_id")
+    asked = good.where(F.col("vec_id") % every == 0).mapInArrow(sent, "vec_id long, embedding array<double>, part int, c int").withColumn("q", F.pmod(spread, F.lit(query_blocks)).cast("int"))
+    placed = good.mapInArrow(dealt, "vec_id long, embedding array<double>, part int, blocks int").withColumn("c", F.pmod(spread, F.col("blocks")).cast("int"))
+    held = placed.select("vec_id", "embedding", "part", "c", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(best(left["vec_id"].to_numpy(), _dense(left["embedding"]), right["vec_id"].to_numpy(), _dense(right["embedding"]), k)) if left.num_rows and right.num_rows else []
