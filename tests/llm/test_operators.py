@@ -8,7 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 from textloom.llm import ann, boosting, common, components, dac, exact_dedup, language_id, mixing, secrets, sentencepieces, simhash, token_output, toxicity, url_filter
@@ -213,6 +215,26 @@ def test_equal_fingerprints_of_unequal_texts_are_told_apart(docs, monkeypatch, s
     assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1), 5: (5, 2), 6: (6, 1), 7: (5, 2)}
 
 
+def test_unequal_texts_of_one_fingerprint_are_split_by_their_chunks(docs, monkeypatch, spark):
+    monkeypatch.setattr(exact_dedup, "COMPARE", 3)
+    rows = [(1, "abcdefgh"), (2, "abcdefgX"), (3, "abXdefgh"), (4, "abcdefgh"), (4, "abXdefgX"), (None, "abXdefgX"), (7, "abXdefgX")]
+    d = docs(rows)
+    members = exact_dedup.fingerprints(d).withColumn("f1", F.lit(0).cast("long")).withColumn("f2", F.lit(0).cast("long")).distinct()
+    got = {(r["doc_id"], r["text_sha256"]): r["class"] for r in exact_dedup.classes(d, members).collect()}
+    by = {(i, t): got[i, hashlib.sha256(t.encode()).hexdigest()] for i, t in rows}
+    assert all((x == y) == (a[1] == b[1]) for a, x in by.items() for b, y in by.items())
+
+
+def test_huge_texts_are_hashed_in_parts(docs, monkeypatch):
+    rows = [(1, "ab  c" * 200), (2, "ab c" * 200), (3, "short"), (3, "ab c" * 200), (None, "ab c" * 200), (5, None), (6, "x" * 500), (6, "x" * 500), (7, " " * 300)]
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = sorted(map(tuple, exact_dedup.all_fingerprints(docs(rows)).collect()), key=key)
+    whole = sorted(map(tuple, exact_dedup.exact_dedup(docs(rows)).collect()), key=key)
+    monkeypatch.setattr(exact_dedup, "HUGE", 64)
+    assert sorted(map(tuple, exact_dedup.all_fingerprints(docs(rows)).collect()), key=key) == want
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs(rows)).collect()), key=key) == whole
+
+
 # --- secrets
 
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + r"|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -262,6 +284,45 @@ def test_secrets(docs):
     assert secrets.secret_spans(docs([])).collect() == []
 
 
+def links_by_brute_force(t, scope):
+    """Of each reported weak span its partners, as listed, and how many parts complete it."""
+    kinds = {"ident": re.compile(r"\b(?:access_key_id|client_id|user_?name|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}", re.I | re.A), "opaque": re.compile(secrets.OPAQUE), "endpoint": re.compile(secrets.ENDPOINT)}
+    every = base_spans(t) + [(m.start(), 3 + k, m.end(), kind) for k, (kind, rx) in enumerate(kinds.items()) for m in rx.finditer(t)]
+    name = lambda s: f"{s[3]}:{s[0]}:{s[2]}"
+    count, pairs = 0, []
+    for s in sorted(weak_spans(t, scope)):
+        for part in {"ident": "s", "opaque": "a", "endpoint": "as"}[s[3]]:
+            near = [(s[0] - o[2], -1, o) for o in every if secrets.PART[o[3]] == part and o[2] <= s[0] <= o[2] + scope]
+            near += [(o[0] - s[2], 1, o) for o in every if secrets.PART[o[3]] == part and s[2] <= o[0] <= s[2] + scope]
+            count += len(near)
+            pairs.append(f"{name(s)}<{name(min(near)[2])}")
+    return count, ",".join(pairs)
+
+
+def test_partners_of_weak_parts(docs):
+    rows = list(enumerate(secret_texts()))
+    got = {r["doc_id"]: (r["n_links"], r["partners"]) for r in secrets.secret_spans(docs(rows)).collect()}
+    assert got == {i: links_by_brute_force(t, secrets.SCOPE) for i, t in rows} and sum(n for n, _ in got.values()) > 50
+
+
+def test_sums_in_blocks(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(i, [rnd.randint(0, 9) for _ in range(n)]) for i, n in enumerate((0, 1, 3, 4, 5, 16, 17, 70))]
+    df = spark.createDataFrame(rows, "i long, a array<int>")
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    for levels in (0, 1, 2):
+        got = {r["i"]: r["s"] for r in df.select("i", secrets.running(F.col("a"), levels).alias("s")).collect()}
+        assert got == {i: [sum(a[:k]) for k in range(len(a))] for i, a in rows}
+
+
+def test_a_very_long_text_takes_linear_time(docs):
+    unit = "user login=bob.smith password = abcdefghijklmnop and AKIAABCDEFGHIJKLMN "
+    n = 10_000_000 // len(unit)
+    (r,) = secrets.secret_spans(docs([(1, unit * n)])).collect()
+    assert (r["n_assign"], r["n_weak"]) == (n, n) and r["spans"].count(",") == 3 * n - 1
+    assert r["partners"].endswith(f"assign:{len(unit) * (n - 1) + 21}:{len(unit) * (n - 1) + 48}")
+
+
 def test_opaque_runs_show_their_classes_anywhere(docs):
     tails = ["A1", "1A", "Aa", "11", "A1==", "A1==="]
     runs = ["x" * 300 + t for t in tails] + ["X" * 300 + "1-" * 150 + "x", "x1" * 5000 + "A", "x" * 1_000_000 + "A1"]
@@ -311,8 +372,10 @@ def test_repeated_neighbours_take_one_place(spark):
     assert sorted((-s, j) for _, j, s in ann.best(np.array([0]), x[:1], ids, v, 5)) == [(-s, i) for _, i, s in want]
 
 
-def test_recall_through_learned_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART", 300)
+@pytest.mark.parametrize("most_parts", [256, 4])
+def test_recall_through_learned_parts(spark, monkeypatch, most_parts):
+    """In one level of 16 parts, and in 4 parts that are divided again."""
+    monkeypatch.setattr(ann, "MOST_PARTS", most_parts)
     monkeypatch.setattr(ann, "BLOCK", 100)
     monkeypatch.setattr(ann, "MOST_QUERIES", 10)
     rnd = np.random.default_rng(8)
@@ -325,8 +388,15 @@ def test_recall_through_learned_parts(spark, monkeypatch):
     s[np.arange(60), np.arange(0, 3000, 50)] = -2
     want = {(50 * q, int(j)) for q, row in enumerate(np.argsort(-s, axis=1)[:, :5]) for j in row}
     assert len(got) == 300 and len(got & want) / 300 >= 0.9
-    model = ann.Partitions(x[:1500], 8)
-    assert model.parts == 8 and model.probes < 8
+    good = ann.reliable(ann.usable(df))
+    model = ann.fit(good, 3000, most_fit=1500)
+    assert (len(model.below) > 0) == (most_parts == 4) and 8 <= model.parts <= 20 and 2 * model.probes < model.parts
+    order = model.order(x[:100])
+    assert (order[:, 0] == model.home(x[:100])).all() and all(sorted(o) == list(range(model.parts)) for o in order.tolist())
+
+
+def test_parts_grow_with_the_root():
+    assert [ann.parts_of(n) for n in (0, 3, 4, 500, 50_000, 10**9, 10**12)] == [1, 1, 2, 4, 64, 8192, 262144]
 
 
 def test_parts_are_balanced():
@@ -338,9 +408,11 @@ def test_parts_are_balanced():
 
 
 def test_token_output(docs, spark, tmp_path):
-    rows = [*ODD, (11, "don't  stop\tnow,, (really)... 12,000 x_y"), (12, "word " * 3000 + "end."), (13, "a.b, c! \n\nd")]
+    end = "<|endoftext|>"
+    rows = [*ODD, (11, "don't  stop\tnow,, (really)... 12,000 x_y"), (12, "word " * 3000 + "end."), (13, "a.b, c! \n\nd"), (14, end), (15, f"{end} a {end}{end}\nb{end}c d{end}"), (16, end[:-1] + " |> <| endoftext")]
     got = token_output.token_output(docs(rows), str(tmp_path / "t")).collect()
-    tok = token_output.UnitEncoder(token_output.tokenizer_path()).tokenizer
+    tok = tokenizers.Tokenizer.from_file(token_output.tokenizer_path())
+    assert tok.encode(end, add_special_tokens=False).ids == [50256]
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
@@ -355,6 +427,24 @@ def test_token_output(docs, spark, tmp_path):
     for s in map(dac.Segment, blobs):
         every = np.concatenate([s.document(k) for k in range(s.n_docs)])
         assert [s.token(i) for i in range(0, s.n_tokens, 7)] == every[::7].tolist()
+    # and by its place among all, from either folder
+    every = [i for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")) for i in [*tok.encode(t or "", add_special_tokens=False).ids, 2]]
+    places = [0, 1, len(every) - 1, *range(5, len(every), 500)]
+    for folder in "tu":
+        assert token_output.read_at(spark, str(tmp_path / folder), places) == [every[p] for p in places]
+    assert token_output.read_token(spark, str(tmp_path / "u"), 17) == every[17] and token_output.read_at(spark, str(tmp_path / "u"), []) == []
+    with pytest.raises(IndexError):
+        token_output.read_at(spark, str(tmp_path / "u"), [3, len(every)])
+
+
+def test_codes_lie_in_the_files_as_they_are(docs, tmp_path):
+    """A segment's bytes are in the file in one piece, uncompressed, each in a page of its own."""
+    token_output.write_tokens(docs([(i, f"text number {i} " * 50) for i in range(40)]), str(tmp_path / "t"), segment=100)
+    files = sorted((tmp_path / "t").glob("part-*.parquet"))
+    for f in files:
+        data = f.read_bytes()
+        blobs = pq.read_table(f)["blob"].to_pylist()
+        assert len(blobs) > 3 and all(b in data for b in blobs)
 
 
 def test_codes_round_trip():
@@ -374,9 +464,10 @@ def test_unit_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_output, "CACHE", 20)
     rnd = random.Random(4)
     enc = token_output.UnitEncoder(token_output.tokenizer_path())
-    texts = ["".join(rnd.choice("ab cd.,'s\n\t  é²1—_") for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    plain = tokenizers.Tokenizer.from_file(token_output.tokenizer_path())
+    texts = ["".join(rnd.choice([*"ab cd.,'s\n\t  é²1—_", "<|endoftext|>", "<|", "|>"]) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
     for t, ids in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_sentencepiece_is_the_library(docs, spark):
@@ -386,6 +477,8 @@ def test_sentencepiece_is_the_library(docs, spark):
     enc = sentencepieces.encoder(sentencepieces.model_path())
     rnd = random.Random(1)
     texts = ["".join(rnd.choice("abcdefghiétnrsoab  \n.▁thein漢") for _ in range(rnd.randint(0, 60))) for _ in range(500)]
+    texts += [" " * k + w for k in range(70) for w in ("", "x", "the", "漢", " the", "\n  the", "▁")]
+    texts += ["".join(rnd.choice(["  ", "   ", " ", "the", "a", "漢", "\n", "▁", " " * 13]) for _ in range(rnd.randint(0, 40))) for _ in range(500)]
     texts += ["a" * 30, " " * 17 + "x", "Internationalization of tokenizers", "\x00", "<s> <0x41>", "\n \n"]
     for t, ids in zip(texts, enc.encode(texts)):
         want = lib.encode(t)
@@ -499,6 +592,39 @@ def test_counts_in_pieces(monkeypatch):
     assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
 
 
+def test_counts_of_a_run_without_spaces_do_not_depend_on_pieces(monkeypatch):
+    texts = ["ab" * 5000 + "\u0130ı\u03a3", "x" * 7, "漢字" * 40 + ". a", ". .", ""]
+    want = [language_id.count_grams(t) for t in texts]
+    for size in (1, 2, 3, 50, 64):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        for t, (g, n) in zip(texts, want):
+            got = language_id.count_grams(t)
+            assert (got[0] == g).all() and (got[1] == n).all()
+
+
+def test_the_sample_of_toxicity_is_bounded_in_bytes(docs, spark, monkeypatch):
+    rows, labels = learnable(300)
+    rows += [(i, "grumblefax " * 20_000) for i in range(300, 330)] * 2
+    labels += [(i, 1, 1) for i in range(300, 330)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "ToxicityModel", lambda texts, toxic, weights: seen.append((sum(map(len, texts)), len(texts), weights)))
+    for most in (100_000, 1_000_000, 100_000_000):
+        toxicity.fit(docs(rows), lab, most_bytes=most)
+    assert all(size <= most for (size, _, _), most in zip(seen, (100_000, 1_000_000, 100_000_000))) and seen[0][1] < seen[1][1] < seen[2][1] and (seen[2][2] == 1).all()
+
+
+def test_very_long_texts(docs, spark):
+    """5 MB of one text, whole: its last words count."""
+    long = "plain words " * 400_000
+    d = docs([(1, long + "THE end"), (2, "a b")])
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(d).collect()} == {1: 800_002, 2: 2}
+    assert [r["rule"] for r in url_filter.judge_urls(spark.createDataFrame([(1, "http://a.net/" + "x/" * 2_000_000), (2, "http://" + "a." * 500_000 + "example.com/de/")], "page_id long, url string")).orderBy("page_id").collect()] == ["net/", "example.com/de/"]
+    lexicon = frozenset(["moron"])
+    assert toxicity.features(long + "you moron", lexicon, frozenset())[toxicity.FEATURES.index("near_you")] == 0.5
+    assert exact_dedup.exact_dedup(docs([(1, long), (2, long + " "), (3, long.replace(" ", "\n\t"))])).where("keep_id = 1").count() == 3
+
+
 # --- mixing
 
 
@@ -561,6 +687,28 @@ def test_mixed_documents(docs):
     assert {i: got.count(i) for i in taken} == taken and taken[99] == 3 and sum(taken[i] for i in range(90)) == 70
 
 
+def test_mixed_documents_odd_cases(docs, spark):
+    rows = [(None, "null id here", "a"), (1, None, "a"), (2, "", "b"), (3, "x y", None), (3, "x y", None), (4, "one two three", "b"), (5, "one two three", "b")]
+    out = mixing.mixed_documents(docs(rows))
+    assert out.columns == docs([]).columns and mixing.mixed_documents(docs([])).collect() == []
+    got = [r["doc_id"] for r in out.collect()]
+    taken = [(r["doc_id"], r["copies"]) for r in mixing.mix(docs(rows)).collect()]
+    want = {i: max(n for j, n in taken if j == i) * sum(r[0] == i for r in rows) for i, _ in taken}
+    assert {i: got.count(i) for i in want} == want and not {1, 2} & set(got) and None in got
+
+
+def test_order_of_a_written_mix(docs, tmp_path, spark):
+    rows = [(i, "w " * 5, "ab"[i % 2]) for i in range(300)]
+    mixed = mixing.mixed_documents(docs(rows), phases=mixing.CURRICULUM)
+    want = [r["doc_id"] for r in mixed.collect()]
+    mixed.write.option("maxRecordsPerFile", 20).parquet(str(tmp_path / "m"))
+    for table in (spark.read.parquet(str(tmp_path / "m")), mixed):
+        got = mixing.in_order(table)
+        assert got.columns == [*docs([]).columns, "_order"]
+        assert [(r["doc_id"], r["_order"]) for r in got.orderBy("_order").collect()] == list(zip(want, range(len(want))))
+    assert mixing.in_order(docs([])).collect() == []
+
+
 # --- urls
 
 URLS = [
@@ -591,5 +739,12 @@ def test_trie_is_longest_match():
         assert trie.find(h, p) == (want[2], want[3])
 
 
+def test_sides_are_broadcast_by_rows_and_bytes(spark):
+    marked = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString() or "broadcast" in df._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "i long, s string")
+    assert marked(common.small_side(df)) and not marked(common.small_side(df, most=49)) and not marked(common.small_side(df, most_bytes=5000))
+    assert marked(common.small_side(df.limit(0)))
+
+
 def test_checkpoints_go_where_the_session_says(spark):
     assert common.shared_folder(spark).startswith("file:") and spark.conf.get("spark.checkpoint.dir") in common.shared_folder(spark)

@@ -5,7 +5,8 @@ import re
 from pathlib import Path
 
 import pytest
-from textloom.llm import language_id, mixing, queries, simhash
+import sentencepiece
+from textloom.llm import language_id, mixing, queries, sentencepieces, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = Path("/root/testdata/sf0.001")
@@ -64,6 +65,12 @@ def test_pipeline(spark, tmp_path):
         count[r["doc_id"]] = count.get(r["doc_id"], 0) + 1
         assert r["round_trip"]
     assert count == {i: n for i, n in copies.items() if n} and len(want) > 150
+    # ids are the library's, in the order of the mix
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.model_path())
+    mixed = [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["mixing"](spark, left, str(SF)).collect()]
+    got.sort(key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(len(mixed))) and [r["doc_id"] for r in got] == mixed
+    assert all(r["ids"] == lib.encode(rows[r["doc_id"]]["text"]) for r in got[::17])
 
 
 def test_mix_follows_the_curriculum(spark):
@@ -91,3 +98,22 @@ def test_stages_return_documents(spark):
         out = stage(spark, empty, str(SF))
         assert out.schema.names == docs.schema.names and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, empty, str(SF)).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids, texts, languages and sources, repeated rows, ties, long texts and further columns."""
+    base = "the people of this town and their old houses were what they had always thought about".split()
+    text = lambda k: " ".join(base[(k * j + j) % len(base)] for j in range(40 + k))
+    rows = [(k, text(k), "en", "ab"[k % 2]) for k in range(1, 40)]
+    rows += [(None, text(50), "en", "a"), (60, None, "en", "a"), (61, "", None, None), (62, text(62), None, None), (62, text(62), None, None), (63, text(5), "en", "b"), (64, text(64) + " end" * 50_000, "en", "b"), (65, " \n 12 %", "en", "b")]
+    docs = spark.createDataFrame([(*r, None, 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _row long, kept long")
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(SF))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "kept"]
+        seen.append(sorted((r["doc_id"] or 0 for r in docs.collect())))
+    assert seen[0] == sorted(r[0] or 0 for r in rows if r[0] not in (60, 61, 65))
+    assert seen[1] == sorted({r[0] or 0 for r in rows if r[0] not in (60, 61, 65, 63)})
+    assert 64 in seen[2] and set(seen[2]) <= set(seen[1]) and set(seen[3]) <= set(seen[2])
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, str(SF)).collect()
+    assert sorted(r["position"] for r in out) == list(range(len(seen[3]))) and all(r["round_trip"] for r in out)

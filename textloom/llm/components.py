@@ -7,22 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import free_of_order, reliable
 
-MAX_ROUNDS = 60
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node of an edge list (a, b): root is the smallest node that can be reached.
 
     Edges may repeat, in any direction; loops don't matter; null ends are left out.  Each round maps every node's
     neighbours to the smallest of them, first those above it, then those below; the rounds end when the edges are a star
-    around each root (their number follows the logarithm of the longest chain).  What a round needs of a node is one
+    around each root.  Every round but the last puts some node under a smaller one, so they do end, after about the
+    logarithm of the longest chain, in the worst case its square.  What a round needs of a node is one
     minimum, aggregated within tasks first, and a node with very many edges is split by the skew join.  Each round's
     edges are written to the shared checkpoint folder, so a lost executor repeats one round at most.
     """
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = reliable(e)
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         # large star: neighbours above a node go to the smallest neighbour
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = free_of_order(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
@@ -37,4 +35,3 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(now) == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())
         before = tuple(now)
-    raise RuntimeError(f"components not found in {MAX_ROUNDS} rounds")

@@ -251,7 +251,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one document of each component of links: that of the smallest doc_id.
 
-    Rows that repeat an id stay or go together.  The ids that go are broadcast if they are few; else rows are dealt by
+    Null, empty and wordless texts have fingerprint zero and are one component.  A null id stays only in a component
+    without other ids.  Rows that repeat an id stay or go together: all of them, if one is the first of a component.
+    An empty table gives an empty one; further columns pass through.  The ids that go are broadcast if they are few; else rows are dealt by
     id once.
     """
     ids = near_dedup(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
