@@ -132,10 +132,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     elif before or after:
         found = shape.context(readable, spec, before, after)
     else:
-        found = S.matches(readable, spec, positions=True)
-        if a.scope or a.block:
-            found = structure.enclosing(readable, found, a.block)
-            found = found.withColumnRenamed("block", "line").withColumn("byte_offset", F.col("start")).withColumn("positions", F.array()) if a.block else found
+        found = structure.enclosed(readable, spec, a.block, positions=True) if a.scope or a.block else S.matches(readable, spec, positions=True)
+        if a.block:
+            found = found.withColumnRenamed("block", "line").withColumn("byte_offset", F.col("start")).withColumn("positions", F.array())
     total = shape.summary(found.where("not is_context").groupBy("path").agg(F.count(F.lit(1)).alias("n")) if "is_context" in found.columns else found.groupBy("path").agg(F.count(F.lit(1)).alias("n"))).first()
     shown = found
     if a.collapse and "is_context" not in found.columns:

@@ -234,3 +234,30 @@ def required_literals(pattern: str, least: int = 3) -> list[str]:
 
     walk(tree)
     return list(dict.fromkeys(found))
+
+
+def line_bound(pattern: str) -> bool:
+    """Whether every match on a whole text (multi-line) is one on a line, and the other way round; False if in doubt.
+
+    Such a pattern has nothing that a line feed fits, and nothing that looks at the ends of a text.
+    """
+    if re.search(r"\[\^|\\[^bdwtx.+*?()|\[\]{}$/@_-]|\(\?(?![:P<])|\[:|\\x|\\t-|[\x00-\x1f]", pattern):
+        return False
+    try:
+        return not re.compile(pattern).fullmatch("\n") and not any(ord(a) <= 10 <= ord(b) for a, b in re.findall(r"(.)-(.)", pattern))
+    except re.error:
+        return False
+
+
+def least_width(pattern: str) -> int:
+    """Characters that a match has at least; 0 if in doubt."""
+    try:
+        return re._parser.parse(pattern).getwidth()[0]
+    except Exception:
+        return 0
+
+
+def simple_literal(pattern: str) -> str | None:
+    """The ASCII text that a pattern looks for, if there is no more to it than the edges of a word."""
+    m = re.fullmatch(r"(?:\\b)?((?:[A-Za-z0-9_ ]|\\[^A-Za-z0-9])+)(?:\\b)?", pattern)
+    return re.sub(r"\\(.)", r"\1", m[1]) if m and m[1].isascii() else None

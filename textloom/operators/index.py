@@ -26,8 +26,8 @@ def postings(files: DataFrame) -> DataFrame:
 
 
 def vocabulary(files: DataFrame) -> DataFrame:
-    """token, files, occs of every token.  Tokens are counted within their file before they are shuffled."""
-    per_file = files.select("path", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("n"))
+    """token, files, occs of every token.  Tokens are counted within their file's row; the one shuffle is by token."""
+    per_file = files.select(F.inline(T.value_counts(T.tokens(F.col("text"))))).withColumnRenamed("text", "token")
     return per_file.groupBy("token").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("occs"))
 
 
@@ -139,7 +139,7 @@ class Index:
         if old and old["options"] == key:
             same = now.join(self.table("manifest", old), ["path", "size", "mtime_ns"], "left_semi").where("mtime_ns is not null").select("path")
         fresh = (files.join(same, "path", "left_anti") if same is not None else files).join(now.where("not is_binary").select("path"), "path", "left_semi")
-        per_token = fresh.select("path", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("path", "token").agg(F.count(F.lit(1)).alias("n"))
+        per_token = fresh.select("path", F.inline(T.value_counts(T.tokens(F.col("text"))))).withColumnRenamed("text", "token")
         posts = postings(fresh)
         if same is not None:
             posts = posts.unionByName(self.table("postings", old).join(same, "path", "left_semi").select("trigram", "path"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,33 @@ def line_positions(spec: SearchSpec, line: Column) -> Column:
     return out
 
 
+def whole_text(spec: SearchSpec) -> str | None:
+    """A pattern whose matches on a whole text are those on its lines, one after another; None if there is none.
+
+    So it is for a single stage whose matches can't go over a line feed: there is no need to cut the text then.
+    """
+    spec = spec.resolved()
+    if spec.invert or len(spec.branches) != 1 or len(spec.branches[0]) != 1:
+        return None
+    s = spec.branches[0][0]
+    if s.pcre or s.ident or s.literal() is not None or "\n" in s.pattern or not (s.fixed or dialect.line_bound(s.pattern)):
+        return None
+    return s.java().replace("(?d", "(?dm", 1)
+
+
+def line_counter(spec: SearchSpec) -> str | None:
+    """A pattern that matches once on each selected line of a text, over the rest of the line; None if there is none.
+
+    One that can match nothing would match again behind the rest of the line.
+    """
+    java = whole_text(spec)
+    stage = spec.branches[0][0]
+    if java is None or not (stage.pattern if stage.fixed else dialect.least_width(stage.pattern)):
+        return None
+    flags, rest = re.match(r"(\(\?[a-z]+\))(.*)", java, re.S).groups()
+    return f"{flags}(?:{rest})[^\\n]*+"
+
+
 def may_match(spec: SearchSpec, text: Column) -> Column | None:
     """A cheap test that every file with a selected line passes, or None: it runs before a text is cut in lines."""
     spec = spec.resolved()
@@ -101,11 +129,16 @@ def may_match(spec: SearchSpec, text: Column) -> Column | None:
     for b in spec.branches:
         s = b[0]
         literal = s.literal()
+        folded = dialect.simple_literal(s.pattern) if s.ignore_case and not (s.fixed or s.pcre or s.ident) else s.pattern if s.ignore_case and s.fixed and s.pattern.isascii() else None
+        if folded and "\n" not in folded:
+            test = F.contains(F.lower(text), F.lit(folded.lower()))
+            out = test if out is None else out | test
+            continue
         if literal is not None:
             if "\n" in literal:
                 return F.lit(False) if len(spec.branches) == 1 else None
             test = F.contains(text, F.lit(literal))
-        elif not (s.ignore_case or s.word or s.ident or s.pcre or s.fixed) and (needs := dialect.required_literals(s.pattern)):
+        elif not (s.ignore_case or s.word or s.ident or s.pcre or s.fixed) and (needs := dialect.required_literals(s.pattern, 1)):
             test = F.lit(True)
             for need in needs:
                 test = test & F.contains(text, F.lit(need))
@@ -119,6 +152,10 @@ def may_match(spec: SearchSpec, text: Column) -> Column | None:
 
 def file_matches(spec: SearchSpec, text: Column) -> Column:
     """Whether a file has a selected line."""
+    if java := whole_text(spec):
+        hit = text.rlike(java)
+        pre = may_match(spec, text)
+        return hit if pre is None else pre & hit
     hit = F.exists(T.line_array(text), lambda line: line_matches(spec, line))
     pre = may_match(spec, text)
     return hit if pre is None else pre & hit
@@ -183,8 +220,39 @@ def matches(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("path",)
 
 def count_lines(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("path",)) -> DataFrame:
     """Selected lines of each file that has one: a projection, without rows for lines and without a shuffle."""
-    n = F.size(F.filter(T.line_array(F.col("text")), lambda line: line_matches(spec, line))).cast("long")
-    return candidates(files, spec).select(*carry, n.alias("n")).where("n > 0")
+    return candidates(files, spec).select(*carry, selected_lines(spec, F.col("text")).alias("n")).where("n > 0")
+
+
+def selected_lines(spec: SearchSpec, text: Column) -> Column:
+    """The number of selected lines of a text: by one pattern over the whole of it where that says the same."""
+    if counter := line_counter(spec):
+        return F.regexp_count(text, F.lit(counter)).cast("long")
+    return F.size(F.filter(T.line_array(text), lambda line: line_matches(spec, line))).cast("long")
+
+
+def file_fragments(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("path",)) -> DataFrame:
+    """carry, fragments of each file with a selected line: the matched texts of all its lines, one after another."""
+    java = whole_text(spec)
+    if java is None:
+        found = F.flatten(F.transform(T.line_array(F.col("text")), lambda line: line_fragments(spec, line)))
+    else:
+        found = T.fragments(F.col("text"), java)
+    return candidates(files, spec).select(*carry, found.alias("fragments")).where(F.size("fragments") > 0)
+
+
+def in_row(files: DataFrame, keep: Callable[[Column], Column] | None = None, carry: Sequence[str] = ("path", "text")) -> DataFrame:
+    """carry, hits: a row per file with an array of its lines, or those that keep() selects (line_number, byte_offset, line).
+
+    For operators that need a file's text beside its lines: nothing is shuffled or joined.
+    """
+
+    def numbered(ls: Column) -> Column:
+        at = T.sums_before(F.transform(ls, lambda line: F.octet_length(line).cast("long") + 1))
+        rows = F.transform(F.arrays_zip(at.alias("at"), ls.alias("line")), lambda r, i: F.struct((i + 1).alias("line_number"), r["at"].alias("byte_offset"), r["line"].alias("line")))
+        return rows if keep is None else F.filter(rows, lambda r: keep(r["line"]))
+
+    hits = T.let(T.line_array(F.col("text")), numbered)
+    return files.where(F.octet_length("text") > 0).select(*carry, hits.alias("hits"))
 
 
 def files_with_matches(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("path",)) -> DataFrame:
@@ -203,9 +271,9 @@ def batch_matches(files: DataFrame, queries: Sequence[tuple[str, SearchSpec]], c
     text = F.col("text")
 
     def counted(spec: SearchSpec) -> Column:
-        n = F.size(F.filter(T.line_array(text), lambda line: line_matches(spec, line)))
+        n = selected_lines(spec, text)
         pre = may_match(spec, text)
-        return (n if pre is None else F.when(pre, n).otherwise(F.lit(0))).cast("long")
+        return n if pre is None else F.when(pre, n).otherwise(F.lit(0).cast("long"))
 
     every = F.array(*[F.struct(F.lit(i).alias("query_index"), F.lit(q).alias("query"), counted(s).alias("n")) for i, (q, s) in enumerate(queries)])
     return files.where(F.octet_length("text") > 0).select(*carry, F.inline(F.filter(every, lambda x: x["n"] > 0)))

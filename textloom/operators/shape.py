@@ -25,15 +25,20 @@ def cut_bytes(text: Column, n: int) -> Column:
 def context(files: DataFrame, spec: SearchSpec, before: int, after: int) -> DataFrame:
     """path, line_number, line, is_context, group_id: selected lines with those around them; groups are runs of lines.
 
-    One shuffle, by path.
+    Worked out in the file's row, on its array of lines: no shuffle.
     """
-    all_lines = S.lines(S.candidates(files, spec)).withColumn("hit", S.line_matches(spec, F.col("line")))
-    by_line = Window.partitionBy("path").orderBy("line_number")
-    near = F.max("hit").over(by_line.rowsBetween(-after, before))
-    shown = all_lines.withColumn("near", near).where("near")
-    opens = F.coalesce((F.col("line_number") - F.lag("line_number").over(by_line) > 1).cast("int"), F.lit(0))
-    shown = shown.withColumn("group_id", F.sum(opens).over(by_line.rowsBetween(Window.unboundedPreceding, 0)))
-    return shown.select("path", "line_number", "line", (~F.col("hit")).alias("is_context"), "group_id")
+
+    def shown(ls: Column) -> Column:
+        hits = F.filter(F.transform(ls, lambda line, i: F.when(S.line_matches(spec, line), i + 1)), lambda i: i.isNotNull())
+        near = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.sequence(F.greatest(F.lit(1), i - before), F.least(F.size(ls), i + after)))))
+        return T.let(near, lambda at: T.let(F.transform(at, lambda n, k: ((k > 0) & (n - F.element_at(at, F.greatest(k, F.lit(1))) > 1)).cast("long")), lambda opens: rows(ls, at, opens)))
+
+    def rows(ls: Column, at: Column, opens: Column) -> Column:
+        groups = F.zip_with(T.sums_before(opens), opens, lambda a, b: a + b)
+        return F.zip_with(at, groups, lambda n, g: F.struct(n.alias("line_number"), F.element_at(ls, n).alias("line"), g.alias("group_id")))
+
+    found = S.candidates(files, spec).select("path", F.inline(T.let(T.line_array(F.col("text")), shown)))
+    return found.select("path", "line_number", "line", (~S.line_matches(spec, F.col("line"))).alias("is_context"), "group_id")
 
 
 def collapse_key(line: Column) -> Column:
@@ -123,12 +128,18 @@ def ranked(rows: DataFrame, by: str = "count", top: int | None = None) -> DataFr
 
 
 def histogram(found: DataFrame) -> DataFrame:
-    """text, n, files of each distinct matched text.  found has path and fragments."""
+    """text, n, files of each distinct matched text.  found has path and fragments, in a row per line or per file."""
     texts = found.select("path", F.explode("fragments").alias("text")).withColumn("text", cut_bytes(F.col("text"), TEXT_BYTES))
     per_file = texts.groupBy("text", "path").agg(F.count(F.lit(1)).alias("n"))
     return per_file.groupBy("text").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
 
 
+def file_histogram(found: DataFrame) -> DataFrame:
+    """histogram() of a row per file: texts are counted within the row, so there is one shuffle, of distinct texts."""
+    short = F.transform("fragments", lambda f: F.when(F.octet_length(f) <= TEXT_BYTES, f).otherwise(cut_bytes(f, TEXT_BYTES)))
+    return found.select(F.inline(T.value_counts(short))).groupBy("text").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
+
+
 def histogram_top(rows: DataFrame, top: int) -> DataFrame:
     order = [F.desc("n"), F.asc("text")]
     return rows.orderBy(*order).limit(top).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

@@ -9,13 +9,15 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from textloom.functions import dialect, lang
+from textloom.functions import text as T
 from textloom.operators import search as S
+from textloom.operators import sides
 from textloom.plans.spec import SearchSpec
 
 
@@ -49,55 +51,52 @@ def number_of(starts: list[int], at: int) -> int:
     return bisect_right(starts, at)
 
 
-def python_pattern(pattern: str, ignore_case: bool, fixed: bool) -> re.Pattern:
-    """A pattern of the dialect for Python's re over bytes, which is ASCII there."""
-    p = re.escape(pattern) if fixed else re.sub(r"\[\[:(\w+):\]\]", lambda m: "[" + {"alpha": "A-Za-z", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "space": r"\s", "word": r"\w", "punct": r"!-/:-@\[-`{-~", "xdigit": "0-9A-Fa-f"}[m[1]] + "]", pattern).replace(r"\z", r"\Z")
-    return re.compile(p.encode(), re.M | (re.I if ignore_case else 0))
+def _multiline(spec: SearchSpec) -> str:
+    """The pattern of a search over whole texts: its branches side by side."""
+    spec = spec.resolved()
+    joined = "|".join(f"(?:{dialect.quote(b[0].pattern) if b[0].fixed else b[0].pattern})" for b in spec.branches)
+    return dialect.re2java(joined, any(b[0].ignore_case for b in spec.branches), multiline=True)
 
 
 def multiline_blocks(files: DataFrame, spec: SearchSpec) -> DataFrame:
     """path, line_number, byte_offset, block, hits: the whole lines that matches over several lines touch.
 
-    Matches that begin on the same line are one record; ``hits`` is how many.
+    Matches that begin on the same line are one record; ``hits`` is how many.  A match of nothing behind the last line is
+    none.  All of it is worked out in the file's row: no shuffle.
     """
+    java = _multiline(spec)
+    feeds = lambda t: (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("long")
+
+    def placed(p: Column) -> Column:
+        before = T.sums_before(F.transform(p, lambda x: feeds(x["gap"]) + feeds(x["hit"])))
+        first = lambda at, x: at + feeds(x["gap"]) + 1
+        return F.zip_with(before, p, lambda at, x: F.struct(first(at, x).cast("int").alias("first"), (first(at, x) + feeds(x["hit"]) - F.endswith(x["hit"], F.lit("\n")).cast("int")).cast("int").alias("last")))
+
     spec = spec.resolved()
-    joined = "|".join(f"(?:{re.escape(b[0].pattern) if b[0].fixed else b[0].pattern})" for b in spec.branches)
-    ignore = any(b[0].ignore_case for b in spec.branches)
+    some = S.candidates(files, SearchSpec(spec.branches)) if all(b[0].literal() and "\n" not in b[0].pattern for b in spec.branches) else files.where(F.octet_length("text") > 0)
+    f = some.where(F.col("text").rlike(java)).select("path", "text", T.let(T.pieces(F.col("text"), java), placed).alias("_all"))
+    f = f.select("path", T.line_array(F.col("text")).alias("_ls"), "_all").withColumn("_m", F.filter("_all", lambda m: m["first"] <= F.size("_ls")))
+    opens = F.filter(F.sequence(F.lit(1), F.greatest(F.size("_m"), F.lit(1))), lambda i: (i <= F.size("_m")) & ((i == 1) | (F.try_element_at("_m", F.greatest(i - 1, F.lit(1)))["first"] != F.try_element_at("_m", i)["first"])))
+    f = f.withColumn("_at", T.sums_before(F.transform("_ls", lambda line: F.octet_length(line).cast("long") + 1))).withColumn("_b", opens)
 
-    def rows(path: str, data: bytes):
-        rx = python_pattern(joined, ignore, False)
-        starts, last = line_starts(data), None
-        for m in rx.finditer(data):
-            if m.start() >= len(data):
-                continue
-            number = number_of(starts, m.start())
-            a = starts[number - 1]
-            end = data.find(b"\n", max(m.start(), m.end() - 1))
-            end = end if end >= 0 else len(data)
-            if last and last[0] == number:
-                last[2], last[3] = max(last[2], end), last[3] + 1
-                continue
-            if last:
-                yield last[0], last[1], data[last[1] : last[2]].decode("utf-8", "replace"), last[3]
-            last = [number, a, end, 1]
-        if last:
-            yield last[0], last[1], data[last[1] : last[2]].decode("utf-8", "replace"), last[3]
+    def record(i, k):
+        group = F.slice("_m", i, F.coalesce(F.try_element_at("_b", k + 2), F.size("_m") + 1) - i)
+        first = F.element_at("_m", i)["first"]
+        last = F.array_max(F.transform(group, lambda m: m["last"]))
+        return F.struct(first.alias("line_number"), F.element_at("_at", first).alias("byte_offset"), F.array_join(F.slice("_ls", first, last - first + 1), "\n").alias("block"), F.size(group).alias("hits"))
 
-    return per_file(S.candidates(files, SearchSpec(spec.branches)) if all(b[0].literal() for b in spec.branches) else files, "line_number int, byte_offset long, block string, hits int", rows)
+    return f.select("path", F.inline(F.transform("_b", record)))
 
 
 def multiline_count(files: DataFrame, spec: SearchSpec) -> DataFrame:
     """path, n: matches (not lines) over whole texts, in built-in functions."""
-    spec = spec.resolved()
-    joined = "|".join(f"(?:{dialect.quote(b[0].pattern) if b[0].fixed else b[0].pattern})" for b in spec.branches)
-    java = dialect.re2java(joined, any(b[0].ignore_case for b in spec.branches), multiline=True)
-    return files.select("path", F.regexp_count("text", F.lit(java)).cast("long").alias("n")).where("n > 0")
+    return files.select("path", F.regexp_count("text", F.lit(_multiline(spec))).cast("long").alias("n")).where("n > 0")
 
 
 def structural(files: DataFrame, template: str, family: str | None = None) -> DataFrame:
     """path, line_number, byte_offset, end_offset, block, captures of a template's matches.
 
-    ``block`` is the whole lines from the match's first to its last.  The family is each file's own, if none is given.
+    ``block`` is the whole lines from the match's first to its last; holes named _ are in no capture.  The family is each file's own, if none is given.
     """
     parts = lang.parse_template(template)
     anchor = re.split(r"[ \t\r\n]", parts[0][1])[0]
@@ -108,42 +107,63 @@ def structural(files: DataFrame, template: str, family: str | None = None) -> Da
             number = number_of(starts, a)
             first = starts[number - 1]
             end = data.find(b"\n", max(a, b - 1))
-            yield number, a, b, data[first : end if end >= 0 else len(data)].decode("utf-8", "replace"), [(n, data[s:e].decode("utf-8", "replace")) for n, s, e in caps]
+            yield number, a, b, data[first : end if end >= 0 else len(data)].decode("utf-8", "replace"), [(n, data[s:e].decode("utf-8", "replace")) for n, s, e in caps if n != "_"]
 
     found = per_file(files.where(F.contains("text", F.lit(anchor))), "line_number int, byte_offset long, end_offset long, block string, captures map<string,string>", rows)
     return found
 
 
-def enclosing(files: DataFrame, found: DataFrame, blocks: bool = False) -> DataFrame:
-    """found (path, line_number, byte_offset, ...) with scope and page of each line, and with blocks its whole block.
+def enclosed(files: DataFrame, spec: SearchSpec, blocks: bool = False, positions: bool = False) -> DataFrame:
+    """Selected lines with the scope and page each is in, and what kind of line it is.
 
-    The lines of a file are gathered beside its text by one shuffle on path.
+    Columns: path, line_number, byte_offset, line, fragments, scope, page, kind, and with ``positions`` byte spans.  With
+    ``blocks``: path, start, line_number, scope, page, hits, block: matches in one block are one record, at its first
+    line, and a line that is in none is a block by itself.
+
+    Lines are selected in the file's row and go through Arrow beside its text: nothing is joined or shuffled.
     """
-    wanted = found.groupBy("path").agg(F.collect_set("byte_offset").alias("at"))
-    joined = files.select("path", F.col("text").cast("binary").alias("data")).join(wanted, "path")
+    hits = S.in_row(S.candidates(files, spec), lambda line: S.line_matches(spec, line)).where(F.size("hits") > 0)
+    hits = hits.select("path", F.col("text").cast("binary").alias("data"), F.transform("hits", lambda h: h["line_number"]).alias("numbers"), F.transform("hits", lambda h: h["byte_offset"]).alias("offsets"))
+    schema = "path string, start long, line_number int, scope string, page int, hits int, block string" if blocks else "path string, line_number int, byte_offset long, line string, scope string, page int, kind string"
+    out_schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out_schema)
+    text = lambda b: b.decode("utf-8", "replace")
+
+    def found(path: str, data: bytes, numbers: list[int], offsets: list[int]):
+        # each line asks a table that begins as far before it as a scope may; lines close to one another share one
+        table, low, high = None, 0, -1
+        records: dict[int, list] = {}
+        for number, at in zip(numbers, offsets):
+            if table is None or at > high:
+                low = data.rfind(b"\n", 0, max(0, at - lang.SCOPE_LIMIT)) + 1 if at > lang.SCOPE_LIMIT else 0
+                high = at + 16 * lang.SCOPE_LIMIT
+                stop = data.find(b"\n", high + 2 * lang.SCOPE_LIMIT)
+                table = lang.FileTable(data[: stop if stop >= 0 else len(data)], path, None, low)
+            end = data.find(b"\n", at)
+            line = data[at : end if end >= 0 else len(data)]
+            scope = table.scope(at)
+            if not blocks:
+                kind = "definition" if table.kind(at) == "definition" else None
+                yield path, number, at, text(line), text(scope[0]) if scope else None, lang.page_at(data, at), kind
+                continue
+            block = table.block(at) or (at, at + len(line), False)
+            if block[0] in records:
+                records[block[0]][5] += 1
+            else:
+                records[block[0]] = [path, block[0], number, text(scope[0]) if scope else None, lang.page_at(data, at), 1, text(data[block[0] : block[1]])]
+        yield from map(tuple, records.values())
 
     def worked(batches):
         for batch in batches:
-            rows = []
-            for path, data, offsets in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for at in offsets:
-                    scope = lang.scope_at(data, at, path)
-                    block = lang.block_at(data, at, path) if blocks else None
-                    line = data[at : (data.find(b"\n", at) + 1 or len(data) + 1) - 1].lstrip(b" \t")
-                    rows.append((path, at, scope[0].decode("utf-8", "replace") if scope else None, lang.page_at(data, at), "definition" if lang.definition_line(line, lang.family_of(path)) and not line.startswith((b"#", b"//", b"/*", b"*")) else None, block[0] if block else None, data[block[0] : block[1]].decode("utf-8", "replace") if block else None))
-            if rows:
-                types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), types)], names=["path", "byte_offset", "scope", "page", "kind", "block_start", "block"])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if rows := list(found(*row)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), arrow.types)], schema=arrow)
 
-    extra = joined.mapInArrow(worked, "path string, byte_offset long, scope string, page int, kind string, block_start long, block string")
-    extra = extra if blocks else extra.drop("block_start", "block")
-    out = found.join(extra, ["path", "byte_offset"])
-    if not blocks:
+    out = hits.mapInArrow(worked, out_schema)
+    if blocks:
         return out
-    # matches in one block are one record, at its first line; a line without a block stays itself
-    key = F.coalesce("block_start", "byte_offset")
-    first = out.groupBy("path", key.alias("start")).agg(F.min("line_number").alias("line_number"), F.first("scope").alias("scope"), F.first("page").alias("page"), F.count(F.lit(1)).alias("hits"), F.first(F.coalesce("block", "line")).alias("block"))
-    return first
+    out = out.withColumn("fragments", S.line_fragments(spec, F.col("line")))
+    return out.withColumn("positions", S.line_positions(spec, F.col("line"))) if positions else out
 
 
 _REGION = re.compile(r"(?:(\d+)-(\d+)|:(\d+)-(\d+)|(func|section):(.+?)(?:#(\d+))?)", re.S)
@@ -197,11 +217,22 @@ def fetch_region(files: DataFrame, region: str, expand: int = 0) -> dict:
     return {"file": path, "line_number": number_of(line_starts(data), a), "span": [a, b], "region": f"{path}@{a}-{b}", "page": lang.page_at(data, a), "text": data[a:b].decode("utf-8", "replace")}
 
 
+#: Regions of one file that a task cuts at once.
+REGIONS = 1000
+
+
 def fetch_regions(files: DataFrame, regions: DataFrame) -> DataFrame:
-    """region, start, end, text, error of many regions (column region) at once; what isn't whole is an error, not a row less."""
+    """region, start, end, text, error of many regions (column region) at once; what isn't whole is an error, not a row less.
+
+    The regions of a file are dealt in lists of bounded length, and each list meets the text once.  If the lists are few
+    and short they are broadcast, so that texts stay where they are; regions of files that aren't there are found apart.
+    """
     asked = regions.select("region", F.regexp_extract("region", r"^(?s:(.*))@", 1).alias("path"))
-    # a path may be asked for very often: texts are joined to distinct paths' lists
-    both = asked.groupBy("path").agg(F.collect_list("region").alias("regions")).join(files.select("path", F.col("text").cast("binary").alias("data")), "path", "left")
+    sizes = asked.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / REGIONS).cast("int").alias("lists"))
+    lists = asked.join(sizes, "path").groupBy("path", F.pmod(F.xxhash64("region"), F.col("lists")).alias("list")).agg(F.collect_list("region").alias("regions")).select("path", "regions")
+    texts = files.select("path", F.col("text").cast("binary").alias("data"))
+    both = texts.join(sides.small(lists), "path").select("path", "regions", "data")
+    nowhere = lists.join(files.select("path"), "path", "left_anti").select("path", "regions", F.lit(None).cast("binary").alias("data"))
 
     def worked(batches):
         for batch in batches:
@@ -218,31 +249,36 @@ def fetch_regions(files: DataFrame, regions: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()])], names=["region", "start", "end", "text", "error"])
 
-    return both.select("path", "regions", "data").mapInArrow(worked, "region string, start long, end long, text string, error string")
+    return both.unionAll(nowhere).mapInArrow(worked, "region string, start long, end long, text string, error string")
+
+
+def _sections(files: DataFrame) -> DataFrame:
+    """path, sections of each Markdown file: (heading, lines) from a heading to the line before the next; what is before the first has none."""
+    md = S.in_row(files.where(lang.family(F.col("path")) == "markdown"), carry=("path",))
+    heads = F.filter(F.transform("hits", lambda h: F.when(F.startswith(h["line"], F.lit("#")), h["line_number"])), lambda n: n.isNotNull())
+    md = md.withColumn("_starts", F.concat(F.array(F.lit(1)), F.filter(heads, lambda n: n > 1)))
+    until = lambda k: F.coalesce(F.try_element_at("_starts", k + 2), F.size("hits") + 1)
+    return md.select("path", F.inline(F.transform("_starts", lambda n, k: F.struct(F.slice("hits", n, until(k) - n).alias("lines")))))
+
+
+def _heading(lines: Column) -> Column:
+    first = F.element_at(lines, 1)
+    return F.when(F.startswith(first["line"], F.lit("#")), first)
 
 
 def sections(files: DataFrame) -> DataFrame:
     """path, section_start, heading, n_lines, n_bytes of Markdown sections: a heading to the line before the next.
 
-    Built-in functions: a section's number is the running count of headings.
+    Built-in functions, in the file's row: no shuffle.
     """
-    from pyspark.sql import Window
-
-    md = S.lines(files.where(lang.family(F.col("path")) == "markdown")).withColumn("is_heading", F.startswith("line", F.lit("#")))
-    run = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = md.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(run)).where("section > 0")
-    return numbered.groupBy("path", "section").agg(
-        F.min("line_number").alias("section_start"), F.min_by("line", "line_number").alias("heading"), F.count(F.lit(1)).alias("n_lines"), F.sum(F.octet_length("line") + 1).alias("n_bytes")
-    )
+    found = _sections(files).withColumn("head", _heading(F.col("lines"))).where("head is not null")
+    n_bytes = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + F.octet_length(x["line"]) + 1)
+    return found.select("path", F.col("head.line_number").alias("section_start"), F.col("head.line").alias("heading"), F.size("lines").cast("long").alias("n_lines"), n_bytes.alias("n_bytes"))
 
 
 def nearest_heading(files: DataFrame, spec: SearchSpec) -> DataFrame:
-    """path, line_number, line, heading of selected Markdown lines: the last heading at or above each (an as-of join)."""
-    from pyspark.sql import Window
-
-    md = S.lines(files.where(lang.family(F.col("path")) == "markdown"))
-    run = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    mark = F.when(F.startswith("line", F.lit("#")), F.struct("byte_offset", "line"))
-    out = md.withColumn("at", F.last(mark, ignorenulls=True).over(run)).where(S.line_matches(spec, F.col("line")))
-    heading = F.when(F.col("byte_offset") - F.col("at")["byte_offset"] <= lang.SCOPE_LIMIT, F.rtrim(F.col("at")["line"]))
-    return out.select("path", "line_number", "line", heading.alias("heading"))
+    """path, line_number, line, heading of selected Markdown lines: the last heading at or above each, in the file's row."""
+    found = _sections(S.candidates(files, spec)).withColumn("head", _heading(F.col("lines")))
+    rows = found.select("path", "head", F.inline(F.filter("lines", lambda x: S.line_matches(spec, x["line"]))))
+    heading = F.when(F.col("byte_offset") - F.col("head.byte_offset") <= lang.SCOPE_LIMIT, F.rtrim(F.col("head.line")))
+    return rows.select("path", "line_number", "line", heading.alias("heading"))

@@ -239,17 +239,17 @@ _NAMES = find(r"\b[A-Z][a-z]+\b")
 
 @query(f"{_HIST} SELECT text, n, files FROM g")
 def histogram(spark, sf_dir):
-    return shape.histogram(S.matches(_docs(spark, sf_dir), _NAMES))
+    return shape.file_histogram(S.file_fragments(_docs(spark, sf_dir), _NAMES))
 
 
 @query(f"{_HIST} SELECT text, n, files, (row_number() OVER (ORDER BY n DESC, text))::INTEGER AS rank FROM g QUALIFY rank <= 25")
 def histogram_top_k(spark, sf_dir):
-    return shape.histogram_top(shape.histogram(S.matches(_docs(spark, sf_dir), _NAMES)), 25)
+    return shape.histogram_top(shape.file_histogram(S.file_fragments(_docs(spark, sf_dir), _NAMES)), 25)
 
 
 @query(f"{_HIST} SELECT count(*) AS distinct_texts, coalesce(sum(n), 0)::BIGINT AS total, least(count(*), 25)::BIGINT AS shown FROM g")
 def histogram_totals(spark, sf_dir):
-    return shape.histogram_totals(shape.histogram(S.matches(_docs(spark, sf_dir), _NAMES)), 25)
+    return shape.histogram_totals(shape.file_histogram(S.file_fragments(_docs(spark, sf_dir), _NAMES)), 25)
 
 
 _BATCH = [("license", find("license")), (r"\d{3}-\d{4}", find(r"\d{3}-\d{4}")), ("zzqxjvzz", find("zzqxjvzz")), ("secret", find("secret", ignore_case=True))]
@@ -369,16 +369,14 @@ def section_scope(spark, sf_dir):
 
 @query()
 def section_blocks(spark, sf_dir):
-    md = _markdown(spark, sf_dir)
-    return structure.enclosing(md, S.matches(md, find("the", fixed=True)).select("path", "line_number", "byte_offset", "line"), blocks=True)
+    return structure.enclosed(_markdown(spark, sf_dir), find("the", fixed=True), blocks=True)
 
 
 @query()
 def page_lookup(spark, sf_dir):
     """Pages in a text whose form feeds became page marks: each line feed of a document starts a page here."""
     docs = _docs(spark, sf_dir).withColumn("text", extract.page_marks(F.regexp_replace("text", "\n", "\f")))
-    found = S.matches(docs, find("License", fixed=True)).select("path", "line_number", "byte_offset", "line")
-    return structure.enclosing(docs, found).select("path", "line_number", "page")
+    return structure.enclosed(docs, find("License", fixed=True)).select("path", "line_number", "page")
 
 
 @query()
@@ -395,14 +393,13 @@ def structural_captures(spark, sf_dir):
 @query()
 def code_blocks(spark, sf_dir):
     files = spark.createDataFrame(CODE, "path string, text string")
-    found = S.matches(files, find(r"return|pass|jitter")).select("path", "line_number", "byte_offset", "line")
-    return structure.enclosing(files, found, blocks=True)
+    return structure.enclosed(files, find(r"return|pass|jitter"), blocks=True)
 
 
 @query()
 def code_scope(spark, sf_dir):
     files = spark.createDataFrame(CODE, "path string, text string")
-    return structure.enclosing(files, S.matches(files, find(r"return|pass|jitter")).select("path", "line_number", "byte_offset", "line"))
+    return structure.enclosed(files, find(r"return|pass|jitter")).drop("fragments")
 
 
 #: A few files in code, for queries whose operators the tables have no texts for.

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKIPPED = {"script", "style", "head", "title", "noscript", "template"}
-BLOCKS = {"p", "div", "li", "ul", "ol", "table", "tr", "section", "article", "header", "footer", "main", "nav", "aside", "blockquote", "pre", "figure", "dl", "dt", "dd", "br", "hr", "body"}
+# The elements whose text goes, and those that end a paragraph.
+SKIPPED = {"script", "style", "head", "title"}
+BLOCKS = {"p", "div", "li", "tr", "blockquote", "pre", "section", "article", "table", "figcaption", "dt", "dd"}
 RANK = {"epub": 0, "pdf": 1, "mobi": 2, "azw3": 2, "azw": 2}
 #: Under so many characters a page, a PDF of more than 3 pages needs optical recognition.
 OCR_CHARS, OCR_PAGES = 100, 3
@@ -26,7 +27,8 @@ class _Markdown(HTMLParser):
         self.out, self.run, self.skip, self.level = [], [], 0, 0
 
     def _close(self):
-        text = " ".join("".join(self.run).split())
+        # runs of text are words apart, whatever element ends between them
+        text = " ".join(" ".join(self.run).split())
         if text:
             self.out.append("#" * self.level + " " * bool(self.level) + text)
         self.run = []
