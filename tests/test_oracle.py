@@ -37,10 +37,7 @@ def test_query(spark, duck, name):
     df = entry_points.queries()[name](spark, SF)
     columns = sorted(df.columns)
     rows = sorted(tuple(map(shown, r)) for r in df.select(*columns).collect())
-    sql = entry_points.oracle_sql().get(name)
-    if sql is None:
-        assert columns
-        return
+    sql = entry_points.oracle_sql()[name]
     names = ", ".join(f'"{c}"' for c in columns)
     assert rows == sorted(tuple(map(shown, r)) for r in duck.sql(f"SELECT {names} FROM ({sql})").fetchall())
 
@@ -49,6 +46,19 @@ def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
 
 
-def test_every_query_but_the_listed_has_sql():
-    without = set(NAMES) - set(entry_points.oracle_sql())
-    assert without == {"multiline_blocks", "html_sections", "section_scope", "section_blocks", "page_lookup", "structural_calls", "structural_captures", "code_blocks", "code_scope"}
+def test_every_query_has_sql():
+    assert set(NAMES) <= set(entry_points.oracle_sql())
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_no_query_is_vacuous(duck, name):
+    """Every query's SQL has rows, on the tables that the driver compares on if they are there."""
+    sf = Path("/root/testdata/sf0.01")
+    if sf.is_dir():
+        import duckdb
+
+        duck = duckdb.connect()
+        duck.sql("SET timezone = 'UTC'")
+        for p in sf.glob("*.parquet"):
+            duck.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    assert duck.sql(f"SELECT count(*) FROM ({entry_points.oracle_sql()[name]})").fetchall()[0][0] > 0

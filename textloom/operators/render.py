@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import shape
-
 RED, GREEN, PURPLE, OFF = "\x1b[1;31m", "\x1b[32m", "\x1b[35m", "\x1b[0m"
 
 
@@ -71,6 +69,28 @@ def text_lines(found: DataFrame, numbers: bool = True, names: bool = True) -> Da
     return found.select("path", "line_number", F.concat(*parts).alias("rendered"))
 
 
+def group_lines(found: DataFrame) -> DataFrame:
+    """found (path, line_number, scope, page, ...) with ``group_line``: the line that is printed before a match whose scope is new.
+
+    That is the scope, or else the page, behind a section sign; null where it is what was printed last, or there is
+    neither.  The order is that of the output within a file.
+    """
+    mark = F.coalesce("scope", F.when(F.col("page") > 0, F.concat(F.lit("p."), F.col("page").cast("string"))))
+    order = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    out = found.withColumn("_mark", mark)
+    last = F.last("_mark", ignorenulls=True).over(order)
+    return out.withColumn("_last", last).withColumn("group_line", F.when(F.col("_mark").isNotNull() & ~F.col("_mark").eqNullSafe(F.col("_last")), F.concat(F.lit("\u00a7 "), F.col("_mark")))).drop("_mark", "_last")
+
+
+def coloured_line(line: Column, positions: Column) -> Column:
+    """A line with its matches (byte spans, in order) in colour."""
+    data = line.cast("binary")
+    part = lambda a, b: F.decode(F.substring(data, a + 1, b - a), "UTF-8")
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, p: F.struct(p["end"].alias("at"), F.concat(acc["out"], part(acc["at"], p["start"]), F.lit(RED), part(p["start"], p["end"]), F.lit(OFF)).alias("out"))
+    return F.aggregate(positions, zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], F.octet_length(line))))
+
+
 def column_window(line: str, positions: list[tuple[int, int]], width: int) -> tuple[str, list[tuple[int, int]], bool]:
     """A window of ``width`` bytes around the first match, snapped to spaces near its edges, with the positions in it."""
     data = line.encode()
@@ -94,6 +114,7 @@ def column_window(line: str, positions: list[tuple[int, int]], width: int) -> tu
 
 
 def coloured(line: str, positions: list[tuple[int, int]]) -> str:
+    """coloured_line() of one line that is on the driver already."""
     data, out, at = line.encode(), [], 0
     for a, b in positions:
         out += [data[at:a], RED.encode(), data[a:b], OFF.encode()]
@@ -115,7 +136,3 @@ def write_records(found: DataFrame, totals: DataFrame, path: str) -> None:
 def exit_code(matched: bool, errors: int) -> int:
     """0 if something matched, 1 if nothing did, 2 if something could not be read."""
     return 2 if errors else 0 if matched else 1
-
-
-def budgeted(found: DataFrame, max_tokens: int) -> tuple[DataFrame, DataFrame]:
-    return shape.budget(found, max_tokens), shape.budget_totals(found, max_tokens)

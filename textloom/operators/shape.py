@@ -174,7 +174,11 @@ def suggest(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
 
     All probes run in one pass.
     """
-    variants = list({v: (v, k) for p in reversed(patterns) for v, k in reversed(dialect.suggest_variants(p))}.values())[::-1]
+    kind_of: dict[str, str] = {}
+    for p in patterns:
+        for v, kind in dialect.suggest_variants(p):
+            kind_of.setdefault(v, kind)
+    variants = list(kind_of.items())
     queries = [(v, find(rf"\b{dialect.quote(v)}\b", ignore_case=True)) for v, _ in variants]
     if not variants:
         return files.sparkSession.createDataFrame([], "variant string, kind string, files long, lines long, place int")

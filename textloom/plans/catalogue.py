@@ -85,14 +85,6 @@ def match_lines(spark, sf_dir):
     return m.select("path", "line_number", "byte_offset", end.alias("end_offset"), "line", F.format_string("%s@%d-%d", "path", "byte_offset", end).alias("region"))
 
 
-@query(r"WITH files AS (SELECT printf('conv/%08d/%04d.txt', conv_id, turn) AS path, coalesce(text, '') AS text FROM conversations), " + CUT + r" SELECT path, line_number, byte_offset, line FROM lines WHERE contains(line, '?')")
-def conversation_lines(spark, sf_dir):
-    return S.matches(tables.conversations(spark, sf_dir), find("?", fixed=True)).select("path", "line_number", "byte_offset", "line")
-
-
-
-
-
 @query(rf"{WITH}, hits AS (SELECT path, line_number, line, unnest(regexp_extract_all(line, '(?:\d+\.){{3}}\d+')) AS text FROM lines) SELECT path, line_number, text, count(*) AS n FROM hits GROUP BY ALL")
 def only_matching(spark, sf_dir):
     m = S.matches(_docs(spark, sf_dir), find(r"(?:\d+\.){3}\d+", only=True))
@@ -140,11 +132,6 @@ def pipeline_three_stage_only(spark, sf_dir):
     return m.select("path", "line_number", F.array_join("fragments", "|").alias("found"))
 
 
-@query(_count_sql(r"regexp_matches(line, '(?i)\bmit[_-]?license\b')"))
-def ident_search(spark, sf_dir):
-    return S.count_lines(_docs(spark, sf_dir), find("mitLicense", ident=True))
-
-
 @query(_count_sql("regexp_matches(line, '(?i)keit')"))
 def smart_case(spark, sf_dir):
     return S.count_lines(_docs(spark, sf_dir), find("keit", smart_case=True))
@@ -228,11 +215,6 @@ def outline_top_k(spark, sf_dir):
     return shape.ranked(shape.outline(_docs(spark, sf_dir), _THE), "count", 10).select("path", "n", "exemplar_line", "rank")
 
 
-@query(f"{_OUTLINE} SELECT path, n, 0::BIGINT AS defs, (row_number() OVER (ORDER BY n DESC, path))::INTEGER AS rank FROM outline QUALIFY rank <= 10")
-def outline_defs(spark, sf_dir):
-    return shape.ranked(shape.outline(_docs(spark, sf_dir), _THE), "defs", 10).select("path", "n", "defs", "rank")
-
-
 _HIST = rf"{WITH}, t AS (SELECT path, unnest(regexp_extract_all(line, '\b[A-Z][a-z]+\b')) AS text FROM lines), g AS (SELECT text, count(*) AS n, count(DISTINCT path) AS files FROM t GROUP BY text)"
 _NAMES = find(r"\b[A-Z][a-z]+\b")
 
@@ -321,14 +303,6 @@ def manifest_sweep(spark, sf_dir):
     return I.sweep(kept.unionByName(gone), now)
 
 
-@query("SELECT event_id, event_type FROM events WHERE ts > (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events)")
-def changed_since(spark, sf_dir):
-    e = tables.read(spark, sf_dir, "events")
-    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
-    middle = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select((F.unix_micros("a") + F.floor((F.unix_micros("b") - F.unix_micros("a")) / 2)).alias("middle"))
-    return e.join(F.broadcast(middle), F.unix_micros("ts") > F.col("middle")).select("event_id", "event_type")
-
-
 @query(f"{WITH}, r AS (SELECT path, line_number, byte_offset, line FROM lines WHERE contains(line, 'License')) SELECT path || '@' || byte_offset || '-' || (byte_offset + strlen(line)) AS region, byte_offset AS start, byte_offset + strlen(line) AS end, line AS text, NULL::VARCHAR AS error FROM r")
 def region_fetch(spark, sf_dir):
     return structure.fetch_regions(_docs(spark, sf_dir), match_lines(spark, sf_dir).select("region"))
@@ -348,69 +322,6 @@ def multiline_count(spark, sf_dir):
     return structure.multiline_count(_docs(spark, sf_dir), find(r"\.$\n^[A-Z]", multiline=True))
 
 
-@query()
-def multiline_blocks(spark, sf_dir):
-    return structure.multiline_blocks(_docs(spark, sf_dir), find(r"\.$\n^The", multiline=True))
-
-
-def _markdown(spark, sf_dir):
-    return extract.html_files(tables.pages(spark, sf_dir))
-
-
-@query()
-def html_sections(spark, sf_dir):
-    return structure.sections(_markdown(spark, sf_dir))
-
-
-@query()
-def section_scope(spark, sf_dir):
-    return structure.nearest_heading(_markdown(spark, sf_dir), find("the", fixed=True))
-
-
-@query()
-def section_blocks(spark, sf_dir):
-    return structure.enclosed(_markdown(spark, sf_dir), find("the", fixed=True), blocks=True)
-
-
-@query()
-def page_lookup(spark, sf_dir):
-    """Pages in a text whose form feeds became page marks: each line feed of a document starts a page here."""
-    docs = _docs(spark, sf_dir).withColumn("text", extract.page_marks(F.regexp_replace("text", "\n", "\f")))
-    return structure.enclosed(docs, find("License", fixed=True)).select("path", "line_number", "page")
-
-
-@query()
-def structural_calls(spark, sf_dir):
-    return structure.structural(tables.pages(spark, sf_dir), "<p>:[body]</p>", "generic")
-
-
-@query()
-def structural_captures(spark, sf_dir):
-    found = structure.structural(tables.pages(spark, sf_dir), "<h1>:[title]</h1>", "generic")
-    return shape.histogram(shape.capture_fragments(found, "title"))
-
-
-@query()
-def code_blocks(spark, sf_dir):
-    files = spark.createDataFrame(CODE, "path string, text string")
-    return structure.enclosed(files, find(r"return|pass|jitter"), blocks=True)
-
-
-@query()
-def code_scope(spark, sf_dir):
-    files = spark.createDataFrame(CODE, "path string, text string")
-    return structure.enclosed(files, find(r"return|pass|jitter")).drop("fragments")
-
-
-#: A few files in code, for queries whose operators the tables have no texts for.
-CODE = [
-    ("a/one.go", 'package a\n\n// adds\nfunc Add(x, y int) int {\n\tif x > 0 { // }\n\t\treturn x + y\n\t}\n\treturn y\n}\n\nfunc Last() {\n\treturn\n}\n'),
-    ("a/two.py", "class Shop:\n    def open(self):\n        return '}'\n\n    def close(self, *rest):\n        pass\n"),
-    ("b/three.md", "# Top\n\n## Backoff\nuse jitter\nmore\n\n## Next\nother\n"),
-    ("b/four.rs", "pub fn run() -> u32 {\n    /* { /* { */ */\n    return 1;\n}\n"),
-]
-
-
 @query(r"""SELECT doc_id, regexp_replace(coalesce(text, ''), '\d+', '#', 'g') AS text FROM documents""")
 def replace_all(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), F.lit(dialect.re2java(r"\d+")), F.lit("#")).alias("text"))
