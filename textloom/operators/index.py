@@ -151,8 +151,11 @@ class Index:
         self.spark.createDataFrame([(VERSION, number, key)], "version int, build int, options string").coalesce(1).write.mode("append").json(f"{self.folder}/meta")
         return meta
 
-    def source(self, files: DataFrame, spec: SearchSpec, options: dict | None = None) -> DataFrame:
-        """The files to be searched, after a sweep: candidates that are as they were, and all files that changed."""
+    def source(self, files: DataFrame, spec: SearchSpec, options: dict | None = None, reindex: bool = False) -> DataFrame:
+        """The files to be searched, after a sweep: candidates that are as they were, and all files that changed.
+
+        With ``reindex`` an index that some files have left behind is built anew first, from the digests of the others.
+        """
         meta = self.meta()
         if meta is None or meta["options"] != option_key(options or {}):
             meta = self.build(files, options)
@@ -160,6 +163,9 @@ class Index:
         if some is None:
             return files
         drift = sweep(self.table("manifest", meta), manifest(files))
+        if reindex and not drift.isEmpty():
+            meta = self.build(files, options)
+            some, drift = candidates(self.table("postings", meta), spec), sweep(self.table("manifest", meta), manifest(files))
         keep = some.join(drift, "path", "left_anti").unionByName(drift.where("state <> 'removed'").select("path"))
         return files.join(keep, "path", "left_semi")
 
@@ -172,3 +178,43 @@ class Index:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Registry:
+    """The folders of all indexes that were built, so that those at or under a path can be cleared together.
+
+    A log of JSON rows in a folder of its own: a folder is there if its last row says so.
+    """
+
+    SCHEMA = "folder string, number long, there boolean"
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at.rstrip("/")
+
+    def _rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SCHEMA).json(self.at)
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    def _note(self, folders: list[str], there: bool) -> None:
+        number = (self._rows().agg(F.max("number")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(f, number, there) for f in folders], self.SCHEMA).coalesce(1).write.mode("append").json(self.at)
+
+    def folders(self) -> list[str]:
+        last = self._rows().groupBy("folder").agg(F.max_by("there", "number").alias("there"))
+        return sorted(r["folder"] for r in last.where("there").collect())
+
+    def add(self, folder: str) -> None:
+        if folder.rstrip("/") not in self.folders():
+            self._note([folder.rstrip("/")], True)
+
+    def clear(self, path: str) -> list[str]:
+        """Removes the indexes at or under a path, and says which."""
+        path = path.rstrip("/")
+        gone = [f for f in self.folders() if f == path or f.startswith(f"{path}/")]
+        for f in gone:
+            Index(self.spark, f).clear()
+        if gone:
+            self._note(gone, False)
+        return gone

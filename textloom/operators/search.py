@@ -240,7 +240,7 @@ def file_fragments(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("
     return candidates(files, spec).select(*carry, found.alias("fragments")).where(F.size("fragments") > 0)
 
 
-def in_row(files: DataFrame, keep: Callable[[Column], Column] | None = None, carry: Sequence[str] = ("path", "text")) -> DataFrame:
+def in_row(files: DataFrame, keep: Callable[[Column], Column] | None = None, carry: Sequence[str | Column] = ("path", "text")) -> DataFrame:
     """carry, hits: a row per file with an array of its lines, or those that keep() selects (line_number, byte_offset, line).
 
     For operators that need a file's text beside its lines: nothing is shuffled or joined.

@@ -95,16 +95,20 @@ def outline(files: DataFrame, spec: SearchSpec) -> DataFrame:
     The exemplar is a definition before another line, then the line of most matches, then one that holds more than its
     matches, then the earliest.
     """
-    sized = files.withColumn("size", F.octet_length("text"))
-    found = S.matches(sized, spec, ("path", "size"))
-    line = F.col("line")
-    is_def = lang.is_definition(line, lang.family(F.col("path")))
-    occ = F.greatest(F.size("fragments"), F.lit(1))
-    hit_bytes = F.aggregate("fragments", F.lit(0), lambda a, f: a + F.octet_length(f))
-    more = F.octet_length(F.trim(line)) > hit_bytes
-    best = F.max_by(F.struct(F.trim(cut_bytes(F.trim(line), TEXT_BYTES)).alias("text"), F.col("line_number")), F.struct(is_def.cast("int"), occ, more.cast("int"), -F.col("line_number")))
-    out = found.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_def).alias("defs"), F.first("size").cast("long").alias("size"), best.alias("best"))
-    return out.select("path", "n", "defs", "size", F.col("best")["text"].alias("exemplar"), F.col("best")["line_number"].alias("exemplar_line"))
+    fam = lang.family(F.col("path"))
+    hits = S.in_row(S.candidates(files, spec), lambda line: S.line_matches(spec, line), ("path", F.octet_length("text").cast("long").alias("size")))
+
+    def weighed(h: Column) -> Column:
+        line, found = h["line"], S.line_fragments(spec, h["line"])
+        occ = F.greatest(F.size(found), F.lit(1))
+        hit_bytes = F.aggregate(found, F.lit(0), lambda a, f: a + F.octet_length(f))
+        more = F.octet_length(F.trim(line)) > hit_bytes
+        return F.struct(lang.is_definition(line, fam).cast("int").alias("is_def"), occ.alias("occ"), more.cast("int").alias("more"), (-h["line_number"]).alias("at"), line.alias("line"))
+
+    # all of a file's hits are in its row: no shuffle
+    out = hits.where(F.size("hits") > 0).select("path", "size", F.transform("hits", weighed).alias("all"))
+    out = out.select("path", "size", F.size("all").cast("long").alias("n"), F.aggregate("all", F.lit(0).cast("long"), lambda a, h: a + h["is_def"]).alias("defs"), F.array_max("all").alias("best"))
+    return out.select("path", "n", "defs", "size", F.trim(cut_bytes(F.trim(F.col("best")["line"]), TEXT_BYTES)).alias("exemplar"), (-F.col("best")["at"]).alias("exemplar_line"))
 
 
 def density(n: Column, size: Column, path: Column) -> Column:

@@ -316,11 +316,7 @@ def regex_split(spark, sf_dir):
 # --- sources
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A path in the folder that the cluster shares for checkpoints; in a local session without one, a new folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(folder or tempfile.mkdtemp(prefix='textloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tables.shared(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 @query(f"{WITH} SELECT path, count(*) AS n, min(line_number)::BIGINT AS first_line, max(byte_offset) AS last_offset FROM lines WHERE contains(line, 'the') GROUP BY path")
