@@ -25,8 +25,9 @@ END_ID = 2
 SEGMENT = 1 << 17
 #: Bytes of input that a writing task is meant for.
 SHARE = 256 << 20
-#: Each segment is a page of its own, so that a reader skips the others; codes don't shrink under a second code.
-LAYOUT = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.page.size": "65536", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+#: Each segment is a page of its own, so that a reader skips the others; codes don't shrink under a second code.  A
+#: writer holds one row group.
+LAYOUT = {"compression": "uncompressed", "parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false", "parquet.page.size": "65536", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 #: Units whose ids a worker keeps, twice (a young and an old generation).
 CACHE = 400_000
 GROUP = 64
