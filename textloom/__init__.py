@@ -1 +1,3 @@
 """textloom: text search and corpus analytics on Spark DataFrames."""
+
+__version__ = "0.2.0"
