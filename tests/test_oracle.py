@@ -50,9 +50,8 @@ def test_every_query_has_sql():
     assert set(NAMES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_no_query_is_vacuous(duck, name):
-    """Every query's SQL has rows, on the tables that the driver compares on if they are there."""
+def test_no_query_is_vacuous(duck):
+    """Every query's SQL has rows, on the tables that results are compared on if they are there."""
     sf = Path("/root/testdata/sf0.01")
     if sf.is_dir():
         import duckdb
@@ -61,4 +60,5 @@ def test_no_query_is_vacuous(duck, name):
         duck.sql("SET timezone = 'UTC'")
         for p in sf.glob("*.parquet"):
             duck.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    assert duck.sql(f"SELECT count(*) FROM ({entry_points.oracle_sql()[name]})").fetchall()[0][0] > 0
+    sql = entry_points.oracle_sql()
+    assert [n for n in NAMES if not duck.sql(f"SELECT count(*) FROM ({sql[n]})").fetchall()[0][0]] == []

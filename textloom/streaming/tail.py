@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -17,16 +19,34 @@ from textloom.plans.spec import SearchSpec
 SCHEMA = "path string, line_number long, byte_offset long, line string"
 
 
-class _TailReader(SimpleDataSourceStreamReader):
-    """Offsets: for each path the bytes and lines that were read.  Only whole lines are read; a part of one waits.
+#: Bytes that are looked at together when line feeds are counted or looked for.
+PIECE = 1 << 20
+
+
+@dataclass
+class Appended(InputPartition):
+    """Whole lines of a file, from one byte to another; the first has the number behind ``number``."""
+
+    path: str
+    start: int
+    end: int
+    number: int
+
+
+class _TailReader(DataSourceStreamReader):
+    """Offsets: for each path the bytes that were read.  Only whole lines are read; a part of one waits.
 
     A path that was there at the start begins at its end (or at 0 with from_start); one that appears later begins at 0;
-    one that shrank begins at 0 again; one that is gone is forgotten.
+    one that shrank begins at 0 again; one that is gone is forgotten, with a warning.
+
+    Each file's new bytes are a partition, read where the task runs.  The driver looks for the last line feed of each
+    file and counts those that were appended, to number lines; it keeps no text.
     """
 
     def __init__(self, options: dict):
         self.paths = [p for p in options["paths"].split("\n") if p]
         self.from_start = options.get("from_start", "false").lower() == "true"
+        self.counted: dict[str, tuple[int, int]] = {}
 
     def _files(self) -> list[str]:
         out = []
@@ -37,52 +57,68 @@ class _TailReader(SimpleDataSourceStreamReader):
                 out.append(p)
         return out
 
-    def initialOffset(self) -> dict:
-        out = {}
-        for p in self._files():
-            n, lines = 0, 0
-            if not self.from_start:
-                with open(p, "rb") as f:
-                    data = f.read()
-                n, lines = data.rfind(b"\n") + 1, data.count(b"\n")
-            out[p] = [n, lines]
-        return out
-
     @staticmethod
-    def _rows(path: str, start: int, end: int | None, number: int) -> tuple[list[tuple], int, int]:
+    def _whole(path: str) -> int:
+        """Bytes up to and with the last line feed, looked for from the end."""
+        try:
+            with open(path, "rb") as f:
+                at = f.seek(0, os.SEEK_END)
+                while at:
+                    low = max(0, at - PIECE)
+                    f.seek(low)
+                    if (k := f.read(at - low).rfind(b"\n")) >= 0:
+                        return low + k + 1
+                    at = low
+        except OSError:
+            pass
+        return 0
+
+    def _number(self, path: str, at: int) -> int:
+        """Lines before a byte, counted on from where they were counted last."""
+        start, lines = self.counted.get(path, (0, 0))
+        if start > at:
+            start = lines = 0
         try:
             with open(path, "rb") as f:
                 f.seek(start)
-                data = f.read() if end is None else f.read(end - start)
+                while start < at and (piece := f.read(min(PIECE, at - start))):
+                    lines, start = lines + piece.count(b"\n"), start + len(piece)
         except OSError:
-            return [], start, number
-        data = data[: data.rfind(b"\n") + 1]
-        rows, at = [], start
-        for line in data.split(b"\n")[:-1]:
-            number += 1
-            rows.append((path, number, at, line.decode("utf-8", "replace")))
-            at += len(line) + 1
-        return rows, at, number
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = [], {}
-        for p in self._files():
-            at, number = start.get(p, [0, 0])
-            if os.path.getsize(p) < at:
-                at, number = 0, 0
-            new, at, number = self._rows(p, at, None, number)
-            rows += new
-            end[p] = [at, number]
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        rows = []
-        for p, (stop, _) in end.items():
-            at, number = start.get(p, [0, 0])
-            if at > stop:
-                at, number = 0, 0
-            rows += self._rows(p, at, stop, number)[0]
-        return iter(rows)
+            pass
+        self.counted[path] = (start, lines)
+        return lines
+
+    def initialOffset(self) -> dict:
+        return {p: 0 if self.from_start else self._whole(p) for p in self._files()}
+
+    def latestOffset(self) -> dict:
+        return {p: self._whole(p) for p in self._files()}
+
+    def partitions(self, start: dict, end: dict) -> list[Appended]:
+        out = []
+        for p in start.keys() - end.keys():
+            logging.getLogger(__name__).warning("watched file is gone: %s", p)
+            self.counted.pop(p, None)
+        for p, stop in end.items():
+            at = start.get(p, 0)
+            if at > stop:  # cut off, and begun again
+                at = 0
+                self.counted.pop(p, None)
+            if stop > at:
+                out.append(Appended(p, at, stop, self._number(p, at)))
+        return out
+
+    def read(self, part: Appended) -> Iterator[tuple]:
+        try:
+            with open(part.path, "rb") as f:
+                f.seek(part.start)
+                at, number = part.start, part.number
+                while at < part.end and (line := f.readline()):
+                    number += 1
+                    yield part.path, number, at, line.removesuffix(b"\n").decode("utf-8", "replace")
+                    at += len(line)
+        except FileNotFoundError:
+            return
 
 
 class TailSource(DataSource):
@@ -95,7 +131,7 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _TailReader(self.options)
 
 
