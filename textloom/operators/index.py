@@ -26,9 +26,9 @@ def postings(files: DataFrame) -> DataFrame:
 
 
 def vocabulary(files: DataFrame) -> DataFrame:
-    """token, files, occs of every token.  Tokens are counted within their file's row; the one shuffle is by token."""
-    per_file = files.select(F.inline(T.value_counts(T.tokens(F.col("text"))))).withColumnRenamed("text", "token")
-    return per_file.groupBy("token").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("occs"))
+    """token, files, occs of every token.  Distinct tokens of a file are marked in its row; the one shuffle is by token."""
+    runs = T.counted(files.select(T.word_runs(F.col("text")).alias("runs")), "runs", "token").where(F.length("token").between(3, 32))
+    return runs.groupBy("token").agg(F.count_if("once").alias("files"), F.count_if(~F.col("once")).alias("occs"))
 
 
 def literal_trigrams(literal: str) -> list[str]:

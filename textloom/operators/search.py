@@ -67,6 +67,8 @@ def line_fragments(spec: SearchSpec, line: Column) -> Column:
     none = F.array().cast("array<string>")
     if spec.invert:
         return none
+    if len(spec.branches) == 1 and len(spec.branches[0]) == 1:
+        return branch_fragments(spec.branches[0], line)  # none where it doesn't match
     out = none
     for b in reversed(spec.branches):
         out = F.when(branch_matches(b, line), branch_fragments(b, line)).otherwise(out)
@@ -235,18 +237,23 @@ def file_fragments(files: DataFrame, spec: SearchSpec, carry: Sequence[str] = ("
     java = whole_text(spec)
     if java is None:
         found = F.flatten(F.transform(T.line_array(F.col("text")), lambda line: line_fragments(spec, line)))
-    else:
-        found = T.fragments(F.col("text"), java)
-    return candidates(files, spec).select(*carry, found.alias("fragments")).where(F.size("fragments") > 0)
+        return candidates(files, spec).select(*carry, found.alias("fragments")).where(F.size("fragments") > 0)
+    # what is extracted says whether there is a match: no test before
+    some = files.where(kept_file(spec, F.col("text"))) if spec.with_file or spec.without_file else files
+    return some.select(*carry, T.fragments(F.col("text"), java).alias("fragments")).where(F.size("fragments") > 0)
 
 
-def in_row(files: DataFrame, keep: Callable[[Column], Column] | None = None, carry: Sequence[str | Column] = ("path", "text")) -> DataFrame:
+def in_row(files: DataFrame, keep: Callable[[Column], Column] | None = None, carry: Sequence[str | Column] = ("path", "text"), offsets: bool = True) -> DataFrame:
     """carry, hits: a row per file with an array of its lines, or those that keep() selects (line_number, byte_offset, line).
 
-    For operators that need a file's text beside its lines: nothing is shuffled or joined.
+    For operators that need a file's text beside its lines: nothing is shuffled or joined.  Without ``offsets`` there is
+    no byte_offset, and no sum over the lines.
     """
 
     def numbered(ls: Column) -> Column:
+        if not offsets:
+            rows = F.transform(ls, lambda line, i: F.struct((i + 1).alias("line_number"), line.alias("line")))
+            return rows if keep is None else F.filter(rows, lambda r: keep(r["line"]))
         at = T.sums_before(F.transform(ls, lambda line: F.octet_length(line).cast("long") + 1))
         rows = F.transform(F.arrays_zip(at.alias("at"), ls.alias("line")), lambda r, i: F.struct((i + 1).alias("line_number"), r["at"].alias("byte_offset"), r["line"].alias("line")))
         return rows if keep is None else F.filter(rows, lambda r: keep(r["line"]))

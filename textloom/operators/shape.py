@@ -96,7 +96,7 @@ def outline(files: DataFrame, spec: SearchSpec) -> DataFrame:
     matches, then the earliest.
     """
     fam = lang.family(F.col("path"))
-    hits = S.in_row(S.candidates(files, spec), lambda line: S.line_matches(spec, line), ("path", F.octet_length("text").cast("long").alias("size")))
+    hits = S.in_row(S.candidates(files, spec), lambda line: S.line_matches(spec, line), ("path", F.octet_length("text").cast("long").alias("size")), offsets=False)
 
     def weighed(h: Column) -> Column:
         line, found = h["line"], S.line_fragments(spec, h["line"])
@@ -139,9 +139,10 @@ def histogram(found: DataFrame) -> DataFrame:
 
 
 def file_histogram(found: DataFrame) -> DataFrame:
-    """histogram() of a row per file: texts are counted within the row, so there is one shuffle, of distinct texts."""
-    short = F.transform("fragments", lambda f: F.when(F.octet_length(f) <= TEXT_BYTES, f).otherwise(cut_bytes(f, TEXT_BYTES)))
-    return found.select(F.inline(T.value_counts(short))).groupBy("text").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("files"))
+    """histogram() of a row per file.  Its distinct texts are marked beside all of them, so one shuffle counts both."""
+    long = F.exists("fragments", lambda f: F.octet_length(f) > TEXT_BYTES)
+    texts = found.select(F.when(long, F.transform("fragments", lambda f: cut_bytes(f, TEXT_BYTES))).otherwise(F.col("fragments")).alias("all"))
+    return T.counted(texts, "all", "text").groupBy("text").agg(F.count_if(~F.col("once")).alias("n"), F.count_if("once").alias("files"))
 
 
 def histogram_top(rows: DataFrame, top: int) -> DataFrame:
