@@ -4,9 +4,10 @@ import math
 import re
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 import sentencepiece
-from textloom.llm import language_id, mixing, queries, sentencepieces, simhash
+from textloom.llm import common, language_id, mixing, queries, sentencepieces, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SF = Path("/root/testdata/sf0.001")
@@ -117,3 +118,30 @@ def test_stages_take_odd_rows(spark):
     assert 64 in seen[2] and set(seen[2]) <= set(seen[1]) and set(seen[3]) <= set(seen[2])
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(SF)).collect()
     assert sorted(r["position"] for r in out) == list(range(len(seen[3]))) and all(r["round_trip"] for r in out)
+
+
+def test_workers_drop_other_operators_caches(spark):
+    """Python workers are used again by later stages; an encoder stays only until they run tasks of another operator."""
+
+    def told(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(sentencepieces._ENCODERS)]})
+
+    kept = lambda: {r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(told, "n long").collect()}
+    docs = spark.range(0, 80, 1, 8).selectExpr("id doc_id", "concat('some words ', id) text")
+    sentencepieces.encode_documents(docs).collect()
+    assert 1 in kept()
+    simhash.fingerprints(docs).collect()
+    assert kept() == {0}
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After each batch and at the end, also if the rest of the rows isn't asked for; the rows are the function's own."""
+    times = []
+    monkeypatch.setattr(common, "give_back", lambda: times.append(1))
+    twice = common.lean(lambda batches: (2 * b for b in batches))
+    assert list(twice(iter([1, 2, 3]))) == [2, 4, 6] and len(times) == 4
+    some = twice(iter([1, 2, 3]))
+    assert next(some) == 2
+    some.close()
+    assert len(times) == 5

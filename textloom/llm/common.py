@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +84,57 @@ def small_side(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROA
     return F.broadcast(df) if n <= most and (total or 0) <= most_bytes else df
 
 
+#: What a Python worker keeps for later tasks, by the operator whose tasks they are.
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """Objects that a worker process keeps from one task of an operator to the next; see lean()."""
+    return _CACHES.setdefault(owner, {})
+
+
+def drop_caches(but: str = "") -> None:
+    """Empties the caches of all operators but one."""
+    for owner, cache in _CACHES.items():
+        if owner != but:
+            cache.clear()
+
+
+@functools.cache
+def _malloc_trim() -> Callable[[int], int]:
+    """The C library's, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and malloc hold of freed memory."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
+def lean(work: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow, made to leave little memory with its worker process.
+
+    Workers are used again, and idle ones count as their executor's memory in every later stage: freed memory is given
+    back with each batch and at the end, and what the worker keeps for operators other than ``owner`` goes.  The rows
+    are those of ``work``.
+    """
+
+    def run(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                give_back()
+
+        drop_caches(owner)
+        try:
+            yield from work(each())
+        finally:
+            give_back()
+
+    return run
+
+
 def hex64(value: Column) -> Column:
     """16 lowercase hex digits of a long, as unsigned."""
     return F.lower(F.lpad(F.hex(value), 16, "0"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, reliable, small_side, text_or_empty
+from .common import WS, lean, reliable, small_side, text_or_empty
 
 #: Primes below 2^31 and their bases: four 31-bit hashes make the fingerprint (124 bits), next to the length.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], dtype=np.uint64)
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 out[1].append(h and h[2] << 31 | h[3])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(f, pa.int64()) for f in out), batch.column(3)], names=["doc_id", "n_bytes", "f1", "f2", "text_sha256"])
 
-    return rows.mapInArrow(hashed, f"doc_id {kind}, n_bytes long, f1 long, f2 long, text_sha256 string")
+    return rows.mapInArrow(lean(hashed), f"doc_id {kind}, n_bytes long, f1 long, f2 long, text_sha256 string")
 
 
 def huge_fingerprints(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def huge_fingerprints(docs: DataFrame) -> DataFrame:
                     out.append(x)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(x, pa.int64()) for x in shifted)], names=["doc_id", "text_sha256", "n_bytes", "at", "h0", "h1", "h2", "h3"])
 
-    each = parts.mapInArrow(hashed, f"doc_id {kind}, text_sha256 string, n_bytes long, at long, h0 long, h1 long, h2 long, h3 long")
+    each = parts.mapInArrow(lean(hashed), f"doc_id {kind}, text_sha256 string, n_bytes long, at long, h0 long, h1 long, h2 long, h3 long")
     once = each.groupBy("doc_id", "text_sha256", "n_bytes", "at").agg(*[F.max(f"h{k}").alias(f"h{k}") for k in range(4)])
     sums = once.groupBy("doc_id", "text_sha256", "n_bytes").agg(*[(F.sum(f"h{k}") % P[k]).alias(f"h{k}") for k in range(4)])
     pair = lambda a, b: F.shiftleft(F.col(a), 31).bitwiseOR(F.col(b))

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
 from .toxicity import held_out
 
 #: N-grams of 1 to 3 characters, within words; the most frequent TOP of them are a profile.
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, most: int = MOST_FIT, top: int = TOP) -> Profiles:
                 n = np.bincount(back, np.concatenate([p[1] for p in pairs]), len(g)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    sums = sample.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(lean(counted), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = sums.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top).collect()
     profiles: dict[str, list[int]] = {}
@@ -188,4 +189,4 @@ def known_language_only(docs: DataFrame, least: float = LEAST_LIKENESS, most: in
             told = [model.value.predict(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([lang != UNKNOWN and like >= least for lang, _, like in told], pa.bool_()))
 
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(lean(passed), docs.schema)

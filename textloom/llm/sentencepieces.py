@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean, worker_cache
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Units whose ids a worker keeps, twice (a young and an old generation); characters of new units indexed at once.
@@ -178,6 +180,49 @@ class Model:
                 j += 1
 
 
+class Fits:
+    """Which pairs of pieces fit, by key: the pairs met lately, in sorted arrays of nine bytes a pair.
+
+    New pairs are gathered beside them and merged in when they are a tenth as many; PAIRS at most are kept.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts = [(np.zeros(0, np.int64), np.zeros(0, bool))] * 2
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.parts)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is known, and whether it fits if so."""
+        known, fits = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        for have, ok in self.parts:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                here = have[at] == keys
+                known |= here
+                fits |= here & ok[at]
+        return known, fits
+
+    def add(self, keys: np.ndarray, fits: np.ndarray) -> None:
+        """Adds keys that aren't known."""
+        if len(self) + len(keys) > PAIRS:
+            self.clear()
+        few = self._merged(self.parts[1], (keys[:PAIRS], fits[:PAIRS]))
+        if len(few[0]) * 10 > len(self.parts[0][0]):
+            self.parts = [self._merged(self.parts[0], few), (np.zeros(0, np.int64), np.zeros(0, bool))]
+        else:
+            self.parts = [self.parts[0], few]
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys, fits = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], fits[order]
+
+
 class SuffixEncoder:
     def __init__(self, model: Model):
         self.model = m = model
@@ -198,11 +243,11 @@ class SuffixEncoder:
             low[k, : len(p)] = high[k, : len(p)] = [self.code[c] for c in p]
         kind = f"S{2 * width}"
         self.low, self.high = low.view(kind).ravel(), high.view(kind).ravel()
-        self.piece_ids = np.array([i for _, i in able], dtype=np.int64)
-        self.piece_lens = np.array([len(p) for p, _ in able], dtype=np.int64)
+        self.piece_ids = np.array([i for _, i in able], dtype=np.int32)
+        self.piece_lens = np.array([len(p) for p, _ in able], dtype=np.int32)
         self.single = np.zeros(0x10000, dtype=bool)
         self.single[[self.code[p] for p, _ in able if len(p) == 1]] = True
-        self.fit: dict[int, bool] = {}
+        self.fit = Fits()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.byte_ids = {c: np.array([m.bytes.get(b, m.unknown) for b in c.encode()] if m.bytes else [m.unknown], dtype="<u4").tobytes() for c in ("\n",)}
@@ -212,26 +257,23 @@ class SuffixEncoder:
         """(position, piece) of every occurrence of every piece in the concatenated units; 0 separates them."""
         padded = np.concatenate((codes, np.zeros(self.width, dtype=np.uint16))).astype(">u2")
         suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[: len(codes)]).view(self.low.dtype).ravel()
-        order = np.argsort(suffixes, kind="stable")
+        order = np.argsort(suffixes, kind="stable").astype(np.int32)
         suffixes = suffixes[order]
         first, last = np.searchsorted(suffixes, self.low, "left"), np.searchsorted(suffixes, self.high, "right")
-        there = np.flatnonzero(last > first)
+        there = np.flatnonzero(last > first).astype(np.int32)
         n = (last - first)[there]
-        which = np.repeat(there, n)
-        at = order[np.repeat(first[there], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return at, which
+        place = np.arange(n.sum(), dtype=np.int32)
+        place += np.repeat((first[there] - np.cumsum(n) + n).astype(np.int32), n)
+        return order[place], np.repeat(there, n)
 
     def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(left * len(self.model.pieces) + right, return_inverse=True)
-        known, v = self.fit, len(self.model.pieces)
-        out = np.empty(len(keys), dtype=bool)
-        for k, key in enumerate(keys.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                if len(known) >= PAIRS:
-                    known.clear()
-                ok = known[key] = self.model.fits(*divmod(key, v))
-            out[k] = ok
+        v = len(self.model.pieces)
+        keys, back = np.unique(left.astype(np.int64) * v + right, return_inverse=True)
+        known, out = self.fit.get(keys)
+        new = np.flatnonzero(~known)
+        if len(new):
+            out[new] = [self.model.fits(*divmod(key, v)) for key in keys[new].tolist()]
+            self.fit.add(keys[new], out[new])
         return out[back]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
@@ -254,19 +296,23 @@ class SuffixEncoder:
         starts = ends - lengths
         codes = self.table[chars]
         codes[ends] = 0
+        # there are several edges a character: 32 bits each, and none kept for longer than it is read
         at, which = self.edges(codes)
         to = at + self.piece_lens[which]
         piece = self.piece_ids[which]
-        lone = np.flatnonzero(~self.single[codes] & (codes != 0))
-        at, to, piece = np.concatenate((at, lone)), np.concatenate((to, lone + 1)), np.concatenate((piece, np.full(len(lone), -1)))
+        del which
+        lone = np.flatnonzero(~self.single[codes] & (codes != 0)).astype(np.int32)
+        if len(lone):
+            at, to, piece = np.concatenate((at, lone)), np.concatenate((to, lone + 1)), np.concatenate((piece, np.full(len(lone), -1, np.int32)))
         # edges by the place where they end, counted from their unit's start
-        first = np.repeat(starts, lengths + 1)
+        first = np.repeat(starts, lengths + 1).astype(np.int32)
         place = to - first[at]
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place, kind="stable").astype(np.int32)
         at, to, piece, place = at[order], to[order], piece[order], place[order]
+        del order
         cuts = np.searchsorted(place, np.arange(1, (place[-1] if len(place) else 0) + 2))
-        last = np.full(len(codes) + 1, NONE, dtype=np.int64)
-        came = np.full(len(codes) + 1, -1, dtype=np.int64)
+        last = np.full(len(codes) + 1, NONE, dtype=np.int32)
+        came = np.full(len(codes) + 1, -1, dtype=np.int32)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             s, e, p = at[a:b], to[a:b], piece[a:b]
             left = last[s]
@@ -277,6 +323,7 @@ class SuffixEncoder:
                 ok[ask] = self._fitting(left[ask], p[ask])
             last[e[ok]] = p[ok]
             came[e[ok]] = s[ok]
+        del at, to, piece, place
         # back from the units' ends
         pos, unit, steps = ends.copy(), np.arange(len(units)), []
         while len(pos):
@@ -320,9 +367,11 @@ class SuffixEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit integers; none for an empty text."""
         out = []
-        parts = [self.units(t) if t else [] for t in texts]
+        # one string a distinct unit: a text's own copies go before the next text is cut
+        same: dict[str, str] = {}
+        parts = [[same.setdefault(u, u) for u in self.units(t)] if t else [] for t in texts]
         missing = []
-        for u in set().union(*parts).difference(self.young):
+        for u in same.keys() - self.young.keys():
             if (ids := self.old.get(u)) is not None:
                 self.young[u] = ids
             else:
@@ -343,11 +392,11 @@ class SuffixEncoder:
         return out[1:] if out[:1] == b" " else out
 
 
-_ENCODERS: dict[str, SuffixEncoder] = {}
+_ENCODERS: dict[str, SuffixEncoder] = worker_cache("sentencepieces")
 
 
 def encoder(path: str) -> SuffixEncoder:
-    """One per worker process, so that later tasks meet a warm cache."""
+    """One per worker process until it runs tasks of another operator, so that later tasks meet a warm cache."""
     if path not in _ENCODERS:
         with open(path, "rb") as f:
             _ENCODERS[path] = SuffixEncoder(Model(f.read()))
@@ -387,4 +436,4 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids_crc32 long, text_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select("text", *(f.name for f in kept)).mapInArrow(worked, schema)
+    return docs.select("text", *(f.name for f in kept)).mapInArrow(lean(worked, "sentencepieces"), schema)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_of_order, hex64, reliable, small_side
+from .common import free_of_order, hex64, lean, reliable, small_side
 from .components import components
 
 SEED = 42
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = np.fromiter((fingerprint(x.as_py() or b"") for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(hashed, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("body")).mapInArrow(lean(hashed), f"doc_id {kind}, fp long")
 
 
 def candidate_keys(fps: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def edges(fps: DataFrame) -> DataFrame:
         if keep is not None and (found := groups(keep)):
             yield emit(found)
 
-    return k.select("key", "cell", "block", "fp").mapInArrow(linked, "a long, b long")
+    return k.select("key", "cell", "block", "fp").mapInArrow(lean(linked), "a long, b long")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
