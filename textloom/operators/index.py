@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dialect
 from textloom.functions import text as T
+from textloom.operators import segments, sides
 from textloom.plans.spec import SearchSpec, Stage
 
-VERSION = 1
+VERSION = 2
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -78,10 +79,23 @@ def candidates(index: DataFrame, spec: SearchSpec) -> DataFrame | None:
     return held.where(some).select("path")
 
 
+#: Most hashes of paths that are sent to every task, and most bytes of them as text.
+HASHES, HASH_BYTES = 2_000_000, 64 << 20
+
+
+def _hashes(paths: DataFrame) -> DataFrame:
+    return sides.small(paths.select(F.xxhash64("path").alias("_hash")).distinct(), HASHES, HASH_BYTES)
+
+
+def among(files: DataFrame, paths: DataFrame) -> DataFrame:
+    """The files with these paths, or (by chance) with the hash of one."""
+    return files.join(_hashes(paths), F.xxhash64("path") == F.col("_hash"), "left_semi")
+
+
 def pruned(files: DataFrame, index: DataFrame, spec: SearchSpec) -> DataFrame:
     """The files to be searched: those that the index can't rule out."""
     some = candidates(index, spec)
-    return files if some is None else files.join(some, "path", "left_semi")
+    return files if some is None else among(files, some)
 
 
 def sweep(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -102,51 +116,98 @@ def option_key(options: dict) -> str:
 
 
 class Index:
-    """An index in a folder: manifest, postings and vocabulary as Parquet under a numbered build, and a pointer to it.
+    """An index in a folder: manifest, segments and vocabulary as Parquet under a numbered build, and a pointer to it.
 
-    A build is written beside the old one and the pointer put last, so readers see one or the other.
+    A build is written beside the old one and the pointer put last, so readers see one or the other.  A segment holds
+    packed lists of files by trigram and by word (see ``segments``); texts are shuffled only if too many files have
+    changed for a list of their paths' hashes to be sent to every task.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def meta(self) -> dict | None:
+    def _builds(self) -> list[dict]:
         try:
-            rows = self.spark.read.json(f"{self.folder}/meta").collect()
+            return [r.asDict() for r in self.spark.read.json(f"{self.folder}/meta").collect()]
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
+                return []
             raise
-        rows = [r.asDict() for r in rows if r["version"] == VERSION]
-        return max(rows, key=lambda r: r["build"], default=None)
+
+    def meta(self) -> dict | None:
+        return max((r for r in self._builds() if r["version"] == VERSION), key=lambda r: r["build"], default=None)
+
+    def _segments(self, meta: dict, *kinds: int) -> DataFrame:
+        return self.spark.read.schema(segments.SCHEMA).parquet(f"{self.folder}/build={meta['build']}/segments").where(F.col("kind").isin(*kinds))
 
     def table(self, name: str, meta: dict | None = None) -> DataFrame:
+        """manifest or vocabulary, or a row per file: postings (trigram, path) or digests (path, token, n)."""
         meta = meta or self.meta()
         if meta is None:
             raise FileNotFoundError(self.folder)
-        return self.spark.read.parquet(f"{self.folder}/build={meta['build']}/{name}")
+        if name not in ("postings", "digests"):
+            return self.spark.read.parquet(f"{self.folder}/build={meta['build']}/{name}")
+        numbers = F.udf(lambda ids: segments.unpacked(ids).tolist(), "array<int>")
+        paths = self._segments(meta, segments.PATHS).select("segment", F.posexplode("paths").alias("id", "path"))
+        if name == "postings":
+            held = self._segments(meta, segments.TRIGRAM).select("segment", F.col("key").alias("trigram"), F.explode(numbers("ids")).alias("id"))
+            return held.join(paths, ["segment", "id"]).select("trigram", "path")
+        held = self._segments(meta, segments.WORD).select("segment", F.col("key").alias("token"), F.explode(F.arrays_zip(numbers("ids").alias("id"), F.col("counts").alias("n"))).alias("_x"))
+        return held.select("segment", "token", "_x.*").join(paths, ["segment", "id"]).select("path", "token", F.col("n").cast("long").alias("n"))
+
+    def candidates(self, spec: SearchSpec, meta: dict | None = None) -> DataFrame | None:
+        """Paths that may hold a match; None if the spec doesn't constrain them.  Lists are intersected within segments."""
+        branches = plan(spec)
+        if branches is None:
+            return None
+        meta = meta or self.meta()
+        every = sorted({t for b in branches for t in b})
+        holding = F.udf(lambda lists: segments.holding(branches, lists), "array<int>")
+        held = self._segments(meta, segments.TRIGRAM).where(F.col("key").isin(every)).groupBy("segment").agg(F.collect_list(F.struct("key", "ids")).alias("lists"))
+        held = held.select("segment", holding("lists").alias("found")).where(F.size("found") > 0)
+        both = held.join(self._segments(meta, segments.PATHS).select("segment", "paths"), "segment")
+        return both.select(F.explode(F.transform("found", lambda i: F.element_at("paths", i + 1))).alias("path")).where("path is not null")
+
+    def pruned(self, files: DataFrame, spec: SearchSpec, meta: dict | None = None) -> DataFrame:
+        """The files to be searched: those that the index can't rule out."""
+        some = self.candidates(spec, meta)
+        return files if some is None else among(files, some)
+
+    def _kept(self, old: dict, now: DataFrame, changed: DataFrame) -> DataFrame:
+        """The rows of a build's segments, without files that changed (by their paths' hashes) or are gone."""
+        paths = self._segments(old, segments.PATHS).select("segment", F.posexplode("paths").alias("id", "path"))
+        same = now.select("path").join(changed, F.xxhash64("path") == F.col("_hash"), "left_anti").distinct().withColumn("same", F.lit(True))
+        slots = paths.join(same, "path", "left").groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("id", F.when(F.col("same"), F.col("path")).alias("path")))).alias("slots"))
+        slots = slots.select("segment", F.transform("slots", lambda s: s["path"]).alias("paths")).where(F.exists("paths", lambda p: p.isNotNull()))
+        none = {c: F.lit(None).cast(t) for c, t in (("key", "string"), ("ids", "binary"), ("counts", "array<int>"))}
+        rows = slots.select(F.lit(segments.PATHS).alias("kind"), none["key"].alias("key"), "segment", none["ids"].alias("ids"), none["counts"].alias("counts"), "paths")
+        live = sides.small(slots.select("segment", F.udf(segments.bits, "binary")("paths").alias("live")))
+        lists = self._segments(old, segments.TRIGRAM, segments.WORD).join(live, "segment").select("kind", "key", "segment", "ids", "counts", "live")
+        return rows.unionAll(lists.mapInArrow(segments.living, segments.SCHEMA))
 
     def build(self, files: DataFrame, options: dict | None = None) -> dict:
         """Builds the index, reading only files that the last build doesn't have as they are."""
         old = self.meta()
         key = option_key(options or {})
-        number = 1 + (old["build"] if old else 0)
+        number = 1 + max((r["build"] for r in self._builds()), default=0)
         at = f"{self.folder}/build={number}"
         now = manifest(files)
-        now.write.parquet(f"{at}/manifest")
+        now.write.mode("overwrite").parquet(f"{at}/manifest")
         now = self.spark.read.parquet(f"{at}/manifest")
-        same = None
+        fresh, kept = files, None
         if old and old["options"] == key:
-            same = now.join(self.table("manifest", old), ["path", "size", "mtime_ns"], "left_semi").where("mtime_ns is not null").select("path")
-        fresh = (files.join(same, "path", "left_anti") if same is not None else files).join(now.where("not is_binary").select("path"), "path", "left_semi")
-        per_token = fresh.select("path", F.inline(T.value_counts(T.tokens(F.col("text"))))).withColumnRenamed("text", "token")
-        posts = postings(fresh)
-        if same is not None:
-            posts = posts.unionByName(self.table("postings", old).join(same, "path", "left_semi").select("trigram", "path"))
-            per_token = per_token.unionByName(self.table("digests", old).join(same, "path", "left_semi").select("path", "token", "n"))
-        posts.sortWithinPartitions("trigram").write.parquet(f"{at}/postings")
-        per_token.write.parquet(f"{at}/digests")
-        self.spark.read.parquet(f"{at}/digests").groupBy("token").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("occs")).write.parquet(f"{at}/vocabulary")
+            same = now.where("mtime_ns is not null").join(self.table("manifest", old), ["path", "size", "mtime_ns"], "left_semi")
+            changed = _hashes(now.join(same.select("path"), "path", "left_anti"))
+            fresh = files.join(changed, F.xxhash64("path") == F.col("_hash"), "left_semi")
+            kept = self._kept(old, now, changed)
+        texts = fresh.where(~F.contains(F.substring("text", 1, 8192), F.lit("\0"))).select("path", F.col("text").cast("binary").alias("data"))
+        rows = texts.mapInArrow(segments.made(number), segments.SCHEMA)
+        if kept is not None:
+            rows = rows.unionAll(kept)
+        rows.sortWithinPartitions("kind", "key").write.mode("overwrite").option("parquet.block.size", 16 << 20).partitionBy("kind").parquet(f"{at}/segments")
+        words = self._segments({"build": number}, segments.WORD)
+        counted = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+        words.groupBy(F.col("key").alias("token")).agg(F.sum(F.size("counts")).alias("files"), F.sum(counted).alias("occs")).write.mode("overwrite").parquet(f"{at}/vocabulary")
         meta = {"version": VERSION, "build": number, "options": key}
         self.spark.createDataFrame([(VERSION, number, key)], "version int, build int, options string").coalesce(1).write.mode("append").json(f"{self.folder}/meta")
         return meta
@@ -159,13 +220,13 @@ class Index:
         meta = self.meta()
         if meta is None or meta["options"] != option_key(options or {}):
             meta = self.build(files, options)
-        some = candidates(self.table("postings", meta), spec)
+        some = self.candidates(spec, meta)
         if some is None:
             return files
         drift = sweep(self.table("manifest", meta), manifest(files))
         if reindex and not drift.isEmpty():
             meta = self.build(files, options)
-            some, drift = candidates(self.table("postings", meta), spec), sweep(self.table("manifest", meta), manifest(files))
+            some, drift = self.candidates(spec, meta), sweep(self.table("manifest", meta), manifest(files))
         keep = some.join(drift, "path", "left_anti").unionByName(drift.where("state <> 'removed'").select("path"))
         return files.join(keep, "path", "left_semi")
 
