@@ -285,7 +285,7 @@ def index_search_equals_cold(spark, sf_dir):
     meta = ix.meta()
     if meta is None or meta["options"] != I.option_key(stamp):
         meta = ix.build(files, stamp)
-    return S.count_lines(I.pruned(files, ix.table("postings", meta), spec), spec)
+    return S.count_lines(ix.pruned(files, spec, meta), spec)
 
 
 @query(f"""WITH {FILES}, t AS (SELECT path, lower(unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: length(x) BETWEEN 3 AND 32))) AS token FROM files),
