@@ -228,7 +228,7 @@ class Index:
             meta = self.build(files, options)
             some, drift = self.candidates(spec, meta), sweep(self.table("manifest", meta), manifest(files))
         keep = some.join(drift, "path", "left_anti").unionByName(drift.where("state <> 'removed'").select("path"))
-        return files.join(keep, "path", "left_semi")
+        return among(files, keep)
 
     def lookup(self, token: str) -> DataFrame:
         return self.table("vocabulary").where(F.col("token") == token.lower())
