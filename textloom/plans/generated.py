@@ -517,12 +517,17 @@ def _finished(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def _streamed(lines: DataFrame, folder: str) -> DataFrame:
+    """A stream of lines.  They are written where they are made, a file for each part of the table: a path's lines are in one part already."""
+    lines.select("path", F.col("line_number").cast("long").alias("line_number"), "byte_offset", "line").write.parquet(folder)
+    return lines.sparkSession.readStream.schema("path string, line_number long, byte_offset long, line string").parquet(folder)
+
+
 @query(f"""{WITH}, hit AS (SELECT *, contains(line, 'License') AS h FROM lines), near AS (SELECT *, bool_or(h) OVER (PARTITION BY path ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near FROM hit)
 SELECT path, line_number::BIGINT AS line_number, line, NOT h AS is_context FROM near WHERE near""")
 def stream_context(spark, sf_dir):
     folder = _scratch(spark, "stream")
-    S.lines(_docs(spark, sf_dir)).select("path", F.col("line_number").cast("long").alias("line_number"), "byte_offset", "line").repartition(4, "path").write.parquet(f"{folder}/in")
-    lines = spark.readStream.schema("path string, line_number long, byte_offset long, line string").parquet(f"{folder}/in")
+    lines = _streamed(S.lines(_docs(spark, sf_dir)), f"{folder}/in")
     return _finished(tail.context_stream(lines, find("License", fixed=True), 1, 2), folder)
 
 
