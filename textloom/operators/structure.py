@@ -21,17 +21,35 @@ from textloom.operators import sides
 from textloom.plans.spec import SearchSpec
 
 
+#: Rows, and about the bytes of them, that go back from Python at once: a batch for each file costs more than its rows.
+ROWS, ROW_BYTES = 4096, 8 << 20
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows put together in batches of bounded size."""
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*held)), schema.types)], schema=schema)
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= ROWS or size >= ROW_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def per_file(files: DataFrame, schema: str, rows: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
     """Rows (after path) that a function makes of each file's path and bytes."""
     out_schema = StructType.fromDDL(f"path string, {schema}")
     arrow = to_arrow_schema(out_schema)
 
     def worked(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(path, *r) for r in rows(path, data)] if data else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*found)), arrow.types)], schema=arrow)
+        files = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield from in_batches(((path, *r) for path, data in files if data for r in rows(path, data)), arrow)
 
     return files.select("path", F.col("text").cast("binary").alias("data")).mapInArrow(worked, out_schema)
 
@@ -154,10 +172,8 @@ def enclosed(files: DataFrame, spec: SearchSpec, blocks: bool = False, positions
         yield from map(tuple, records.values())
 
     def worked(batches):
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if rows := list(found(*row)):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*rows)), arrow.types)], schema=arrow)
+        files = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4))))
+        yield from in_batches((r for row in files for r in found(*row)), arrow)
 
     out = hits.mapInArrow(worked, out_schema)
     if blocks:
